@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrid.lineage import cut
-from siftgrid.llm import distinctive, frequency, overlap, similar, together
+from siftgrid.llm import distinctive, encode, frequency, overlap, packing, residue, similar, together
 from siftgrid.llm.terms import record_sets
 from siftgrid.sources.tables import table
 
@@ -168,3 +168,41 @@ SELECT field, term, 'rare' AS mark FROM f WHERE f <= 2 UNION ALL SELECT field, t
   r AS (SELECT id, term, f, min(f) OVER (PARTITION BY id) AS m FROM dec JOIN f USING (term) JOIN h USING (id))
 SELECT id AS decision_id, term FROM r WHERE f = m""",
 }
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, tokens, same): whether decoding the ids gives the text again, null and empty both counting as empty."""
+    documents = table(spark, d, "documents")
+    ids = encode.encode_ids(documents, "doc_id", "text")
+    texts = encode.decode_ids(ids, "doc_id").withColumnRenamed("text", "again")
+    return documents.select("doc_id", "text").join(texts, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("again")).alias("same"))
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "capacities").select("container_kind", F.col("capacity_tokens").alias("capacity"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """(container_kind, container_id, doc_id, piece, tokens): the documents in containers of each kind."""
+    sizes = cut(encode.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.fill_containers(sizes, _kinds(spark, d))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, d), _kinds(spark, d))
+
+
+def p8_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, reason) of documents with template residue, filler, error or script text."""
+    return residue.residue_documents(cut(residue.evidence(table(spark, d, "documents").select("doc_id", "ruling_id", "text"))))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_reasons(spark, d).select("doc_id").distinct()
+
+
+QUERIES |= {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_report, p8_found, p8_reasons)}
