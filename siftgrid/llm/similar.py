@@ -26,7 +26,8 @@ _NO_COVER = 99
 
 
 def _signatures(trees: int, seed: int = 7):
-    """Arrow function (cls, hashes) -> (tree, hi, lo, cls): 8 minhash values of 16 bits, four in each long."""
+    """Arrow function (cls, hashes) -> (tree, hi, lo, cls, size, mask): 8 minhash values of 16 bits, four in each long; the
+    mask has one bit in 64 for each term, by its hash."""
     rng = np.random.default_rng(seed)
     mul, add = rng.integers(1, 2**63, trees * DEPTH, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, trees * DEPTH, dtype=np.uint64)
 
@@ -44,6 +45,8 @@ def _signatures(trees: int, seed: int = 7):
                 h = np.asarray(lists.flatten()).view(np.uint64)
                 cls = np.asarray(batch.column("cls"))
                 n = len(cls)
+                size = np.diff(offsets).astype(np.int32)
+                mask = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), starts).view(np.int64)
                 sig = np.empty((trees, 2, n), dtype=np.uint64)
                 for t in range(trees):
                     for half in range(2):
@@ -54,41 +57,52 @@ def _signatures(trees: int, seed: int = 7):
                             word = (word << np.uint64(16)) | (mix(least) & np.uint64(0xFFFF))
                         sig[t, half] = word
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)), pa.array(sig[:, 0].reshape(-1).view(np.int64)), pa.array(sig[:, 1].reshape(-1).view(np.int64)), pa.array(np.tile(cls, trees))], ["tree", "hi", "lo", "cls"]
+                    [pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)), pa.array(sig[:, 0].reshape(-1).view(np.int64)), pa.array(sig[:, 1].reshape(-1).view(np.int64)), pa.array(np.tile(cls, trees)), pa.array(np.tile(size, trees)), pa.array(np.tile(mask, trees))],
+                    ["tree", "hi", "lo", "cls", "size", "mask"],
                 )
 
     return run
 
 
-def _neighbourhoods(group: int, buffer: int):
+def _neighbourhoods(group: int, buffer: int, num: int, den: int):
     """Arrow function over rows sorted by (tree, hi, lo) -> (a, b, depth): candidate pairs (depth null), and for each
-    set compared at more than BASE its depth in that tree (b null)."""
+    set compared at more than BASE its depth in that tree (b null).
 
-    def resolve(lo: np.ndarray, cls: np.ndarray, depth: int, out: list) -> None:
+    Pairs whose sizes or masks rule out num / den are not passed on. No such pair can be similar: the smaller size is
+    at least num / den of the larger, and at most (den - num) / (den + num) of both sizes together are terms that
+    one of the two lacks, each of which accounts for one differing bit at most.
+    """
+
+    def compare(cls: np.ndarray, size: np.ndarray, mask: np.ndarray, out: list) -> None:
+        i, j = np.triu_indices(len(cls), 1)
+        differ = np.bitwise_count(mask[i] ^ mask[j]).astype(np.int64)
+        near = (differ * (den + num) <= (den - num) * (size[i] + size[j])) & (np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num)
+        if near.any():
+            out.append((cls[i[near]], cls[j[near]], None))
+
+    def resolve(lo: np.ndarray, sets: tuple[np.ndarray, ...], depth: int, out: list) -> None:
+        cls = sets[0]
         if len(cls) <= group:
             if depth > BASE:
                 out.append((cls, None, np.full(len(cls), depth)))
             if len(cls) > 1:
-                i, j = np.triu_indices(len(cls), 1)
-                out.append((cls[i], cls[j], None))
+                compare(*sets, out)
         elif depth == DEPTH:
             out.append((cls, None, np.full(len(cls), _NO_COVER)))
         else:
             prefix = lo >> np.uint64(16 * (DEPTH - depth - 1))
-            edges = np.flatnonzero(np.diff(prefix)) + 1
-            for x, y in zip(np.split(lo, edges), np.split(cls, edges), strict=True):
-                resolve(x, y, depth + 1, out)
+            bounds = [0, *(np.flatnonzero(np.diff(prefix)) + 1).tolist(), len(cls)]
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                resolve(lo[x:y], tuple(s[x:y] for s in sets), depth + 1, out)
 
-    def deepest(lo: np.ndarray, cls: np.ndarray, out: list) -> None:
+    def deepest(lo: np.ndarray, sets: tuple[np.ndarray, ...], out: list) -> None:
         """A neighbourhood that outgrew the buffer, at full depth."""
-        edges = np.flatnonzero(np.diff(lo)) + 1
-        for y in np.split(cls, edges):
-            if len(y) <= group:
-                out.append((y, None, np.full(len(y), DEPTH)))
-                i, j = np.triu_indices(len(y), 1)
-                out.append((y[i], y[j], None))
-            else:
-                out.append((y, None, np.full(len(y), _NO_COVER)))
+        bounds = [0, *(np.flatnonzero(np.diff(lo)) + 1).tolist(), len(lo)]
+        for x, y in zip(bounds, bounds[1:], strict=False):
+            part = tuple(s[x:y] for s in sets)
+            out.append((part[0], None, np.full(y - x, DEPTH if y - x <= group else _NO_COVER)))
+            if 1 < y - x <= group:
+                compare(*part, out)
 
     def batch_of(out: list) -> pa.RecordBatch:
         a = np.concatenate([x[0] for x in out])
@@ -101,15 +115,16 @@ def _neighbourhoods(group: int, buffer: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [np.asarray(batch.column(c)) for c in ("tree", "hi", "lo", "cls")]
-            new[2] = new[2].view(np.uint64)
-            tree, hi, lo, cls = new if kept is None else [np.concatenate(p) for p in zip(kept, new, strict=True)]
+            new = [np.asarray(batch.column(c)) for c in ("tree", "hi", "lo", "cls", "size", "mask")]
+            new[2], new[4], new[5] = new[2].view(np.uint64), new[4].astype(np.int64), new[5].view(np.uint64)
+            tree, hi, lo, cls, size, mask = new if kept is None else [np.concatenate(p) for p in zip(kept, new, strict=True)]
             edges = np.flatnonzero((np.diff(tree) != 0) | (np.diff(hi) != 0)) + 1
             out: list = []
             bounds = np.concatenate([[0], edges])
             sizes = np.diff(bounds)
             for k in np.flatnonzero(sizes > 1):  # all but the last group are complete; most hold one set
-                resolve(lo[bounds[k] : bounds[k + 1]], cls[bounds[k] : bounds[k + 1]], BASE, out)
+                x, y = bounds[k], bounds[k + 1]
+                resolve(lo[x:y], (cls[x:y], size[x:y], mask[x:y]), BASE, out)
             at = bounds[-1]
             if len(cls) - at > buffer:
                 last = at + int(np.argmax(lo[at:] == lo[-1]))  # where the run of the last signature begins
@@ -117,14 +132,14 @@ def _neighbourhoods(group: int, buffer: int):
                     out.append((cls[at:], None, np.full(len(cls) - at, _NO_COVER)))
                     last = len(cls)
                 else:
-                    deepest(lo[at:last], cls[at:last], out)
+                    deepest(lo[at:last], (cls[at:last], size[at:last], mask[at:last]), out)
                 at = last
-            kept = [x[at:] for x in (tree, hi, lo, cls)]
+            kept = [x[at:] for x in (tree, hi, lo, cls, size, mask)]
             if out:
                 yield batch_of(out)
         if kept is not None and len(kept[3]) > 1:
             out = []
-            resolve(kept[2], kept[3], BASE, out)
+            resolve(kept[2], tuple(kept[3:]), BASE, out)
             if out:
                 yield batch_of(out)
 
@@ -169,8 +184,8 @@ def similar_classes(classes: DataFrame, num: int = 3, den: int = 4, trees: int =
     ``classes`` is read several times and must be computed already. Sets must not be empty. Expected recall of each
     pair at the threshold is at least ``target``, at higher similarity more; no candidate is dropped.
     """
-    rows = classes.select("cls", "hashes").mapInArrow(_signatures(trees), "tree int, hi bigint, lo bigint, cls bigint")
-    found = cut(rows.repartition("tree", "hi").sortWithinPartitions("tree", "hi", "lo").mapInArrow(_neighbourhoods(group, buffer), "a bigint, b bigint, depth int"))
+    rows = classes.select("cls", "hashes").mapInArrow(_signatures(trees), "tree int, hi bigint, lo bigint, cls bigint, size int, mask bigint")
+    found = cut(rows.repartition("tree", "hi").sortWithinPartitions("tree", "hi", "lo").mapInArrow(_neighbourhoods(group, buffer, num, den), "a bigint, b bigint, depth int"))
     s = num / den
     gain = F.log(1 - F.lit(s) ** F.col("depth")) - math.log(1 - s**BASE)
     missed = found.filter("b IS NULL").groupBy("a").agg((F.sum(F.when(F.col("depth") == _NO_COVER, F.lit(-math.log(1 - s**BASE))).otherwise(gain)) + trees * math.log(1 - s**BASE)).alias("m"))
