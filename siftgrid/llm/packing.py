@@ -2,42 +2,50 @@
 
 An item longer than the capacity is cut into full pieces and a remainder; every other item stays whole. What is to be
 packed then is dealt into shards of bounded size by the hash of its id, each of which is one packing problem of its
-own: patterns of few lengths that fill a container are enumerated on a coarse grid of lengths, their repeat counts
-are fitted to the shard's histogram by non-negative least squares and rounded down, and what the patterns leave is packed
-best-fit into the room they left and into new containers. A shard leaves less than a container's worth unfilled
-by its end, so the number of shards costs next to nothing.
+own: lengths are binned at quantiles, each bin standing for its longest; patterns of few bins that fill a container are
+enumerated, their repeat counts are fitted to the shard's histogram by non-negative least squares and rounded down, and
+what the patterns leave is packed best-fit into the room they left and into new containers. Where lengths are so small
+or so unlike that patterns do not help, best-fit alone needs fewer containers and is taken. A shard ends with one
+container that may be poorly filled, so the number of shards costs next to nothing.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD, LEVELS, FEW = 50_000, 64, 3
-
-
-@lru_cache(maxsize=8)
-def patterns(levels: int = LEVELS, few: int = FEW) -> np.ndarray:
-    """Columns: all multisets of at most ``few`` levels 1..levels whose sum is levels or up to two below."""
-    found: list[tuple[int, ...]] = []
-
-    def grow(parts: tuple[int, ...], left: int, most: int) -> None:
-        if left <= 2 and parts:
-            found.append(parts)
-        if len(parts) < few:
-            for x in range(min(left, most), 0, -1):
-                grow((*parts, x), left - x, x)
-
-    grow((), levels, levels)
-    out = np.zeros((levels, len(found)))
-    for j, parts in enumerate(found):
-        for x in parts:
-            out[x - 1, j] += 1
+SHARD, LEVELS, PATTERNS = 50_000, 128, 6000
+
+
+def patterns(lengths: np.ndarray, capacity: int, most: int = PATTERNS) -> np.ndarray:
+    """Columns: how often each of the ascending ``lengths`` stands in a multiset of one to three that fits the capacity,
+    for the ``most`` multisets that leave the least room, and no more than an eighth."""
+    n, least = len(lengths), capacity - capacity // 8
+    none = np.full(1, -1)
+    chosen, room = [], []
+    for i in range(n):
+        firsts = [(none, np.array([lengths[i]]))]
+        firsts.append((np.arange(i + 1), lengths[i] + lengths[: i + 1]))
+        for second, total in firsts:
+            ok = (total >= least) & (total <= capacity)
+            chosen.append(np.stack([np.full(ok.sum(), i), second[ok], np.full(ok.sum(), -1)], 1))
+            room.append(capacity - total[ok])
+        for j in range(i + 1):
+            total = lengths[i] + lengths[j] + lengths[: j + 1]
+            ok = np.flatnonzero((total >= least) & (total <= capacity))
+            if len(ok):
+                chosen.append(np.stack([np.full(len(ok), i), np.full(len(ok), j), ok], 1))
+                room.append(capacity - total[ok])
+    kinds, left = np.concatenate(chosen), np.concatenate(room)
+    kinds = kinds[np.argsort(left, kind="stable")[:most]]
+    out = np.zeros((n, len(kinds)))
+    for c in range(3):
+        own = kinds[:, c] >= 0
+        np.add.at(out, (kinds[own, c], np.flatnonzero(own)), 1)
     return out
 
 
@@ -67,33 +75,41 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -
     return x
 
 
-def pack(sizes: np.ndarray, capacity: int, levels: int = LEVELS, few: int = FEW) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int, levels: int = LEVELS, most: int = PATTERNS) -> np.ndarray:
     """The container number of each item; sizes are in 1..capacity. Numbers are dense from 0."""
-    n = len(sizes)
-    box = np.full(n, -1, dtype=np.int64)
-    if not n:
-        return box
-    level = -(-sizes * levels // capacity)  # rounded up, so that what fits by levels fits
-    order = np.lexsort((np.arange(n), -sizes))
-    edges = np.searchsorted(-level[order], -np.arange(levels, 0, -1), side="left")
-    stacks = {lv: order[a:b].tolist() for lv, a, b in zip(range(levels, 0, -1), edges, [*edges[1:], n], strict=True)}
-    histogram = np.array([len(stacks[lv]) for lv in range(1, levels + 1)], dtype=float)
-    table = patterns(levels, few)
-    counts = np.floor(nonnegative_least_squares(table, histogram) + 1e-6).astype(int)
-    room: list[int] = []
+    if not len(sizes):
+        return np.full(0, -1, dtype=np.int64)
+    order = np.lexsort((np.arange(len(sizes)), -sizes))
+    by_patterns = _best_fit(sizes, capacity, order, *_by_patterns(sizes, capacity, order, levels, most))
+    alone = _best_fit(sizes, capacity, order, np.full(len(sizes), -1, dtype=np.int64), [])
+    return by_patterns if by_patterns.max() <= alone.max() else alone
+
+
+def _by_patterns(sizes: np.ndarray, capacity: int, order: np.ndarray, levels: int, most: int) -> tuple[np.ndarray, list[int]]:
+    """The container of each item that a pattern holds, -1 for the others, and the room left in each container."""
+    box, room = np.full(len(sizes), -1, dtype=np.int64), []
+    lengths = np.unique(np.quantile(sizes, np.linspace(0, 1, levels + 1)[1:], method="higher"))
+    bins = np.searchsorted(lengths, sizes)
+    stacks = [order[bins[order] == b].tolist()[::-1] for b in range(len(lengths))]  # the longest of each bin on top
+    table = patterns(lengths, capacity, most)
+    counts = np.floor(nonnegative_least_squares(table, np.array([len(x) for x in stacks], dtype=float)) + 1e-6).astype(int)
     for j in np.argsort(-counts, kind="stable"):
         if counts[j] <= 0:
             break
-        need = [(int(i) + 1, int(table[i, j])) for i in np.flatnonzero(table[:, j])]
-        for _ in range(min(counts[j], *(len(stacks[lv]) // k for lv, k in need))):
+        need = [(int(b), int(table[b, j])) for b in np.flatnonzero(table[:, j])]
+        for _ in range(min(counts[j], *(len(stacks[b]) // k for b, k in need))):
             left = capacity
-            for lv, k in need:
+            for b, k in need:
                 for _ in range(k):
-                    item = stacks[lv].pop()
+                    item = stacks[b].pop()
                     box[item] = len(room)
                     left -= int(sizes[item])
             room.append(left)
-    rest = order[box[order] < 0]
+    return box, room
+
+
+def _best_fit(sizes: np.ndarray, capacity: int, order: np.ndarray, box: np.ndarray, room: list[int]) -> np.ndarray:
+    """Each item without a container, longest first, goes into the least room that takes it, else into a new container."""
     open_rooms: list[int] = []
     by_room: dict[int, list[int]] = {}
 
@@ -108,6 +124,7 @@ def pack(sizes: np.ndarray, capacity: int, levels: int = LEVELS, few: int = FEW)
     for container, left in enumerate(room):
         put(container, left)
     used = len(room)
+    rest = order[box[order] < 0]
     for item, size in zip(rest.tolist(), sizes[rest].tolist(), strict=True):
         at = bisect_left(open_rooms, size)
         if at < len(open_rooms):
