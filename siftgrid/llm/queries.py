@@ -40,7 +40,7 @@ def _set_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    classes, members = similar.set_classes(_set_records(spark, d))
+    classes, members = similar.set_classes(cut(_set_records(spark, d)))
     classes, members = cut(classes), cut(members)
     return classes, members.join(classes.select("digest", "cls"), "digest").select("uid", "cls"), similar.similar_classes(classes)
 
