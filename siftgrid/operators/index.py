@@ -145,19 +145,24 @@ class IndexedFrame:
         return counts.select("n", "f_a", "f_b", "f_ab", *CoStats(F.col("n"), F.col("f_a"), F.col("f_b"), F.col("f_ab")).columns())
 
 
-def all_pair_counts(postings: DataFrame, left: Column, right: Column) -> DataFrame:
+def all_pair_counts(postings: DataFrame, left: Column, right: Column, apart: bool = True) -> DataFrame:
     """(col_a, num_a, str_a, col_b, num_b, str_b, f_a, f_b, f_ab) of every key that meets ``left`` with every one that meets
-    ``right``, pairs without a common row included.
+    ``right``; pairs without a common row are included unless ``apart`` is false.
 
-    Common rows come from one join on row_id, summed map-side; the pairs that have none come from the two dictionaries,
-    which the conditions are to restrict (the result has a row for each pair). A pair of a key with itself is left out.
+    Common rows come from one join on row_id, summed map-side. Statistics are defined for pairs that have none as well;
+    with ``apart`` the result has a row for each pair of keys, which the conditions are to restrict: that, and not the
+    rows, is what the product of the two dictionaries costs. Without it no product is made. A pair of a key with
+    itself is left out.
     """
     a = postings.filter(left).select(*(F.col(c).alias(x) for c, x in zip(KEY, ("col_a", "num_a", "str_a"), strict=True)), "row_id")
     b = postings.filter(right).select(*(F.col(c).alias(x) for c, x in zip(KEY, ("col_b", "num_b", "str_b"), strict=True)), "row_id")
     ka, kb = ["col_a", "num_a", "str_a"], ["col_b", "num_b", "str_b"]
     met = a.join(b, "row_id").groupBy(*ka, *kb).agg(F.count(F.lit(1)).alias("f_ab"))
     da, db = a.groupBy(*ka).agg(F.count(F.lit(1)).alias("f_a")), b.groupBy(*kb).agg(F.count(F.lit(1)).alias("f_b"))
+    both = lambda u, v, names: reduce(lambda p, q: p & q, (F.col(f"{u}.{c}").eqNullSafe(F.col(f"{v}.{c}")) for c in names))
+    own = reduce(lambda p, q: p & q, (F.col(f"{'x' if apart else 'y'}.{p_}").eqNullSafe(F.col(f"{'x' if apart else 'y'}.{q_}")) for p_, q_ in zip(ka, kb, strict=True)))
+    if not apart:
+        counted = met.alias("y").filter(~own).join(da.alias("a"), both("y", "a", ka)).join(db.alias("b"), both("y", "b", kb))
+        return counted.select(*(f"y.{c}" for c in (*ka, *kb)), "a.f_a", "b.f_b", "y.f_ab")
     x, y = da.crossJoin(db).alias("x"), met.alias("y")
-    same = reduce(lambda p, q: p & q, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*ka, *kb)))
-    own = reduce(lambda p, q: p & q, (F.col(f"x.{p_}").eqNullSafe(F.col(f"x.{q_}")) for p_, q_ in zip(ka, kb, strict=True)))
-    return x.join(y, same, "left").filter(~own).select(*(f"x.{c}" for c in (*ka, *kb)), "x.f_a", "x.f_b", F.coalesce("y.f_ab", F.lit(0)).cast("bigint").alias("f_ab"))
+    return x.join(y, both("x", "y", (*ka, *kb)), "left").filter(~own).select(*(f"x.{c}" for c in (*ka, *kb)), "x.f_a", "x.f_b", F.coalesce("y.f_ab", F.lit(0)).cast("bigint").alias("f_ab"))

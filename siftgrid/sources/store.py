@@ -1,7 +1,8 @@
 """Frames and indexes on disk, as Parquet folders.
 
-``rows`` and ``postings`` are folders of one frame; postings are written sorted by key and partitioned by column, so a key
-lookup reads one column's folder and few row groups. Writes go through Spark's commit protocol: readers see a whole folder.
+``rows`` and ``postings`` are folders of one frame; postings are range-partitioned and sorted by key and row, one folder a
+column, so a key lookup reads one column's folder and few row groups, and a key that most rows hold is spread over many
+files. Writes go through Spark's commit protocol: readers see a whole folder.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def write_sequence(spark: SparkSession, values: Sequence, kind: str, path: str)
 
 def write_indexed(frame: IndexedFrame, path: str) -> None:
     write_frame(frame.rows, f"{path}/rows")
-    frame.postings.repartition("col").sortWithinPartitions("col", "value_num", "value_str", "row_id").write.mode("overwrite").partitionBy("col").parquet(f"{path}/postings")
+    frame.postings.repartitionByRange(*KEY, "row_id").sortWithinPartitions(*KEY, "row_id").write.mode("overwrite").partitionBy("col").parquet(f"{path}/postings")
     stored = frame.rows.sparkSession.read.schema("value_num bigint, value_str string, row_id bigint, col string").parquet(f"{path}/postings")
     write_frame(build_dictionary(stored).select(*KEY, "ordinal", "f"), f"{path}/dictionary")
 

@@ -111,6 +111,8 @@ def test_all_pair_counts(spark):
     data = [(r.n, r.q) for r in rows.collect()]
     want = {(a, b): (sum(x == a for x, _ in data), sum(y == b for _, y in data), sum(p == (a, b) for p in data)) for a in "abcz" for b in (0, 1, 2, 9)}
     assert got == want and want["z", 0][2] == 0
+    met = {(r.str_a, r.num_b): (r.f_a, r.f_b, r.f_ab) for r in index.all_pair_counts(frame.postings, F.col("col") == "n", F.col("col") == "q", apart=False).collect()}
+    assert met == {k: v for k, v in want.items() if v[2]}
     one = frame.co_stats(("n", "a"), ("q", 1)).first()
     assert (one.n, one.f_a, one.f_b, one.f_ab) == (51, *want["a", 1])
     none = frame.co_stats(("n", "no"), ("q", 77)).first()
