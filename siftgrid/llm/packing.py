@@ -1,7 +1,7 @@
 """Problem 7: filling fixed-capacity containers, by pattern packing with non-negative least squares.
 
 An item longer than the capacity is cut into full pieces and a remainder; every other item stays whole. What is to be
-packed then is dealt into shards of bounded size by the hash of its id, each of which is one packing problem of its
+packed then is dealt into shards of bounded size by the hash of its position, each of which is one packing problem of its
 own: lengths are binned at quantiles, each bin standing for its longest; patterns of few bins that fill a container are
 enumerated, their repeat counts are fitted to the shard's histogram by non-negative least squares and rounded down, and
 what the patterns leave is packed best-fit into the room they left and into new containers. Where lengths are so small
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD, LEVELS, PATTERNS = 50_000, 128, 6000
+SHARD, LEVELS, PATTERNS, KINDS = 50_000, 128, 6000, 1000
 
 
 def patterns(lengths: np.ndarray, capacity: int, most: int = PATTERNS) -> np.ndarray:
@@ -146,19 +146,24 @@ def fill_containers(items: DataFrame, kinds: DataFrame, shard: int = SHARD) -> D
     One row per piece: piece 0.. are the full pieces of an item longer than the capacity, each alone in its container;
     the last is the remainder, or the whole item. Items of 0 tokens, null counts included, take no room and come
     out with a null container. Rows with a null id are packed too. Kinds without a positive capacity are left
-    out. ``kinds`` is a list of sizes in use, whose number does not grow with the items, hence the broadcast of at
-    most 1000 rows.
+    out. ``kinds`` is a setting, the sizes in use, and does not grow with the items: up to KINDS of them are a constant of
+    the plan, more raise ValueError. ``items`` is read several times and must be computed already (a table or a
+    checkpoint), so that a row that is read again after a failure falls into the same shard; its shard does not depend
+    on its id, which many rows may share.
     """
-    kinds = kinds.filter("capacity > 0").select("container_kind", F.col("capacity").cast("bigint")).distinct()
-    few = kinds.limit(1001).count() <= 1000
-    items = items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("size"))
+    sizes = kinds.filter("capacity > 0").select("container_kind", F.col("capacity").cast("bigint")).distinct().sort("capacity", "container_kind").head(KINDS + 1)
+    if len(sizes) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of containers")
+    items = items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("size"), F.monotonically_increasing_id().alias("at"))
     shards = max(1, -(-items.count() // shard))
-    crossed = items.crossJoin(F.broadcast(kinds)) if few else items.crossJoin(kinds)
+    constant = F.array(*(F.struct(F.lit(k.container_kind).cast("string").alias("container_kind"), F.lit(k.capacity).cast("bigint").alias("capacity")) for k in sizes))
+    constant = constant if sizes else F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
+    crossed = items.withColumn("k", F.explode(constant)).select("doc_id", "size", "at", "k.container_kind", "k.capacity")
     crossed = crossed.withColumn("full", F.expr("size div capacity")).withColumn("last", F.expr("size % capacity"))
     whole = crossed.filter("full > 0").select("container_kind", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
     whole = whole.select("container_kind", F.concat_ws("-", F.lit("whole"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("container_id"), "doc_id", "piece", F.col("capacity").alias("tokens"))
     empty = crossed.filter("size = 0").select("container_kind", F.lit(None).cast("string").alias("container_id"), "doc_id", F.lit(0).cast("bigint").alias("piece"), F.col("size").alias("tokens"))
-    rest = crossed.filter("last > 0").select("container_kind", "capacity", "doc_id", F.col("full").alias("piece"), F.col("last").alias("tokens"), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int").alias("shard"))
+    rest = crossed.filter("last > 0").select("container_kind", "capacity", "doc_id", F.col("full").alias("piece"), F.col("last").alias("tokens"), F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int").alias("shard"))
     kind = items.schema["doc_id"].dataType.simpleString()
 
     def packed(key: tuple, rows: pa.Table) -> pa.Table:
