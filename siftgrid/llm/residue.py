@@ -2,11 +2,12 @@
 
 One pass over the texts takes three kinds of evidence from each record: what is certain by itself (template syntax that
 still names its field, blanks, filler, error and script pages), spans that may be a field left in its slot, and the
-template of each line. Records of the same line template are then aligned over the whole collection: a span is a slot
-where the line without it, or with a value in it, is the line of other rulings. A span is residue where it keeps a
-variable name: one that template syntax names somewhere, or that stands in several kinds of brackets, or is a word in
-capitals in an aligned slot. Lines that recur in many rulings, and nearly only beside certain error or filler
-text, are templates of such pages; records with one are flagged as well.
+template of each line and sentence, whatever its length. Records of the same template are then aligned over the whole
+collection: a place is a slot where the line or sentence without it, or with a value in it, is that of other rulings. A
+span in brackets is residue where it stands in a slot, or keeps a variable name: one that template syntax names
+somewhere, or that stands in several kinds of brackets. A blank, a default or a missing value is residue in a slot, a
+bare word in a slot whose name template syntax names elsewhere. Lines that recur in many rulings, and nearly only
+beside certain error or filler text, are templates of such pages; records with one are flagged as well.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RULINGS, SHARE, LINE = 4, 0.9, 100
+RULINGS, SHARE = 4, 0.9
 _ROWS = 512
 
 _NAME = r"[^\W\d_][\w.\-\s]{0,48}?"
@@ -101,12 +102,24 @@ def _automaton() -> ahocorasick.Automaton:
 _WORDS, _PATTERNS = _automaton(), list(_HINTS)
 _CAMEL = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
 _JOINTS = re.compile(r"[\s._\-]+")
-_DIGITS = re.compile(r"\d+")
+_DIGITS, _DIGIT = re.compile(r"\d+"), re.compile(r"[1-9]")
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _LIGATURES = (("\ufb01", "fi"), ("\ufb02", "fl"))
 _DIVIDED = re.compile(r"(?<=[a-zß-ÿ])-\r?\n(?=[a-zß-ÿ])")
 _MISREAD = re.compile(r"(?<=[a-zß-ÿ])[01](?=[a-zß-ÿ])")
-_NO_DIGITS = str.maketrans("", "", "0123456789")
+_SENTENCE = re.compile(r"[.!?\n](?:(?<=\n)\s*\n|(?<=[a-zß-ÿ]{3}[.!?])\s+(?=[A-ZÀ-Þ„“«<{\[(]))")
+_RUN = re.compile("N(?: N)+")
+# What may stand in a slot for a value: blanks and empty brackets, defaults, and nothing between two spaces or before a sign.
+# Underlines after a letter and dots in brackets are redactions.
+_BLANK = re.compile(r"(?<![\w.])_{2,}(?!\w)|(?<![\w.\[(])\.{4,}(?![\w.\])])|\[[ \t]*\]|\([ \t]*\)|\{[ \t]*\}|<[ \t]*>|«[ \t]*»")
+_DEFAULT = re.compile(r"(?<![^\s(])(?:00?[./-]00?[./-]0000|0000-00-00|(?i:dd[./]mm[./]yyyy|mm[./]dd[./]yyyy|yyyy-mm-dd|tt\.mm\.jjjj|jj[./]mm[./]aaaa|pp\.kk\.vvvv|tbd|tbc))(?=[\s.,;:)]|$)")
+_GAP = re.compile(r" [ \t]+(?=[^\W\d_])|\t[ \t]+(?=[^\W\d_])| (?=[.,])")
+_BLANKS = ("__", "....", "[]", "[ ", "()", "( ", "{}", "{ ", "<>", "< ", "«»", "« ", "[\t", "(\t", "{\t", "<\t", "«\t")
+_DEFAULTS = ("0000", "yyyy", "jjjj", "aaaa", "vvvv", "tbd", "tbc")
+_WORD = re.compile(r"[A-ZÀ-Þ]{4,}(?:[_.][A-ZÀ-Þ]+)*(?=[\s.,;:)]|$)")
+_JOINED = re.compile(r"[a-zß-ÿ]+(?:_[a-zß-ÿ]+)+(?=[\s.,;:)]|$)")
+_CAPTION = r"[^\W\d_][^\s:]{0,24}(?:[ \t][^\s:]{1,24}){0,2}"
+_LABEL = re.compile(rf"(?m)^[ \t]*({_CAPTION}):[ \t]*(?:(?=\S)|\r?$(?=\s*(?:{_CAPTION}:|\Z)))")
 
 
 def clean(text: str) -> str:
@@ -137,17 +150,55 @@ def is_identifier(inner: str) -> bool:
 
 
 def line_template(line: str) -> int:
-    """A hash of the line with digits and, beside words in lower case, runs of other words (names, codes) left out."""
-    words = line.translate(_NO_DIGITS).split()
-    if any(map(str.islower, words)):
-        kept: list[str] = []
-        for w in words:
-            if w.islower():
-                kept.append(w)
-            elif not kept or kept[-1] != "N":
-                kept.append("N")
-        words = kept
-    return xxhash.xxh64_intdigest(" ".join(words)) - 2**63
+    """A hash of the line with, beside words in lower case, each run of other words (names, numbers, codes) as one value,
+    and else without digits, which are all 0 in ``line``."""
+    words = line.split()
+    kept = [w if w.islower() else "N" for w in words]
+    lower = kept.count("N") < len(kept)
+    return xxhash.xxh64_intdigest(_RUN.sub("N", " ".join(kept)) if lower else " ".join(words).replace("0", "")) - 2**63
+
+
+def label_template(label: str) -> int:
+    """A hash of a line that gives a value for the label."""
+    return xxhash.xxh64_intdigest("\0" + label.casefold()) - 2**63
+
+
+def units(text: str, breaks: list[tuple[int, int]]) -> set[str]:
+    """The lines and the sentences of a text."""
+    ends, starts = [a for a, _ in breaks] + [len(text)], [0] + [b for _, b in breaks]
+    out = {x.strip() for x in text.splitlines()} | {text[a:b].strip() for a, b in zip(starts, ends, strict=True)}
+    out.discard("")
+    return out
+
+
+def around(text: str, breaks: list[tuple[int, int]], start: int, end: int) -> list[tuple[str, str]]:
+    """What stands before and after a place in its line and in its sentence; ``breaks`` are those between sentences."""
+    a, b = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+    out = [(text[a:start], text[end : len(text) if b < 0 else b])]
+    a = max((e for _, e in breaks if e <= start), default=0)
+    b = min((s for s, _ in breaks if s >= end), default=len(text))
+    return [*out, (text[a:start], text[end:b])]
+
+
+def alone(before: str, after: str) -> bool:
+    """Whether the words beside a place are in lower case, so that one word fills the slot."""
+    left, right = before.rsplit(None, 1)[-1:], after.lstrip(".,;:)").split(None, 1)[:1]
+    return all(map(str.islower, left + right))
+
+
+def probes(places: list[tuple[str, str]], without: bool) -> list[int]:
+    """Templates that other rulings' lines have if the place is a slot: with a value in it and, if asked, without one.
+
+    At least two words must stand around it, one of them in lower case.
+    """
+    out = set()
+    for before, after in places:
+        words = before.split() + after.split()
+        if len(words) > 1 and any(map(str.islower, words)):
+            out.add(line_template(f"{before} Name {after}"))
+            if without:
+                out.add(line_template(f"{before} {after}"))
+    return list(out)
 
 
 def low_variety(words: list[str]) -> bool:
@@ -203,19 +254,40 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = xxhash.xxh64_intdigest(ruling if ruling is not None else f"\0{doc}") - 2**63
             text = clean(text)
             sure = certain(text)
-            for family, plain, inner, start, end in spans(text):
-                if plain:
-                    sure = True
-                    rows.append((doc, group, "name", field_name(inner), family, True, None))
+            fields = spans(text)
+            low = text.casefold()
+            blanks = [(m.start(), m.end(), True) for m in _BLANK.finditer(text)] if any(x in text for x in _BLANKS) else []
+            if any(x in low for x in _DEFAULTS):
+                blanks += [(m.start(), m.end(), True) for m in _DEFAULT.finditer(text)]
+            if any(x in text for x in (" .", " ,", "\t\t", "\t ")) or "  " in text:
+                blanks += [(m.start(), m.end(), False) for m in _GAP.finditer(text) if text[m.start() - 1 : m.start()].isalpha()]
+            named = [*_WORD.finditer(text), *(_JOINED.finditer(text) if "_" in text else ())]
+            words = [(m.group(), m.start(), m.end()) for m in named if text[m.start() - 1 : m.start()] in " \t\r\n(" or not m.start()]
+            text = _DIGIT.sub("0", text)
+            breaks = [(m.start() + (text[m.start()] != "\n"), m.end()) for m in _SENTENCE.finditer(text)]
+            own = units(text, breaks)
+            for family, plain, inner, start, end in fields:
+                places = around(text, breaks, start, end)
+                own -= {(x + text[start:end] + y).strip() for x, y in places}
+                rows.append((doc, group, "name", field_name(inner), family, plain, probes(places, True)))
+                sure = sure or plain
+            for start, end, without in blanks:
+                places = around(text, breaks, start, end)
+                if without:
+                    own -= {(x + text[start:end] + y).strip() for x, y in places}
+                if tried := probes(places, without):
+                    rows.append((doc, group, "blank", None, None, False, tried))
+            for word, start, end in words:
+                if tried := probes([x for x in around(text, breaks, start, end) if alone(*x)], True):
+                    rows.append((doc, group, "word", field_name(word), None, False, tried))
+            lines = {line_template(x) for x in own}
+            for m in _LABEL.finditer(text):
+                if text[m.end() : m.end() + 1].strip():
+                    lines.add(label_template(m.group(1)))
                 else:
-                    a, b = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-                    b = len(text) if b < 0 else b
-                    slot = inner.isupper() and len(inner) > 3 and b - a <= LINE
-                    around = [line_template(text[a:start] + text[end:b]), line_template(text[a:start] + " Name " + text[end:b])] if slot else []
-                    rows.append((doc, group, "name", field_name(inner), family, False, around))
+                    rows.append((doc, group, "blank", None, None, False, [label_template(m.group(1))]))
             if sure:
                 rows.append((doc, group, "sure", None, None, True, None))
-            lines = {line_template(x) for x in text.splitlines() if len(x) <= LINE and not x.isspace() and x}
             rows.append((doc, group, "lines", None, None, sure, list(lines)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(list(zip(*rows, strict=True)) if rows else [[]] * 7, _KIND, strict=True)], schema=_KIND)
 
@@ -239,12 +311,13 @@ def residue_documents(found: DataFrame, rulings: int = RULINGS, share: float = S
     sure = found.filter("kind = 'sure'").select("doc_id", F.lit("certain").alias("reason"))
     names = found.filter("kind = 'name'")
     known = names.groupBy("key").agg(F.max("sure").alias("sure"), F.count_distinct("family").alias("families")).filter("sure OR families > 1").select("key")
-    maybe = names.filter("NOT sure")
-    named = maybe.join(known, "key", "left_semi").select("doc_id", F.lit("name").alias("reason"))
+    named = names.filter("NOT sure").join(known, "key", "left_semi").select("doc_id", F.lit("name").alias("reason"))
     lines = found.filter("kind = 'lines'").select("doc_id", "ruling", "sure", F.explode("templates").alias("template"))
     spread = lines.groupBy("template", "ruling").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("sure"), 1)).alias("s"))
     templates = spread.groupBy("template").agg(F.count(F.lit(1)).alias("rulings"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter(F.col("rulings") >= rulings)
-    aligned = maybe.select("doc_id", F.explode("templates").alias("template")).join(templates.select("template"), "template", "left_semi").select("doc_id", F.lit("slot").alias("reason"))
+    bare = found.filter("kind = 'word'").join(names.filter("sure").select("key").distinct(), "key", "left_semi")
+    places = names.select("doc_id", "templates").unionByName(found.filter("kind = 'blank'").select("doc_id", "templates")).unionByName(bare.select("doc_id", "templates"))
+    aligned = places.select("doc_id", F.explode("templates").alias("template")).join(templates.select("template"), "template", "left_semi").select("doc_id", F.lit("slot").alias("reason"))
     pages = templates.filter(F.col("s") >= share * F.col("n")).select("template")
     paged = lines.filter("NOT sure").join(pages, "template", "left_semi").select("doc_id", F.lit("page").alias("reason"))
     return sure.unionByName(named).unionByName(aligned).unionByName(paged).distinct()

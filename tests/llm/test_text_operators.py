@@ -200,3 +200,19 @@ def test_residue_documents(spark):
     assert {d for d, _ in got} == {1, 2, 30, 60, *range(10, 19)}
     assert (2, "name") in got and (30, "page") in got and (60, "slot") in got
     assert residue.residue_documents(residue.evidence(frame.limit(0))).count() == 0
+
+
+def test_slots_of_lines_and_sentences(spark):
+    """Fields of any case, blanks, defaults, missing values and bare names in lines and long paragraphs that others fill."""
+    filler = "The court heard the parties on every one of the grounds that were raised below and in the reply as well. "
+    names = ["Ostmann", "Braet", "Velquist", "Toriet", "Rudeow"]
+    rows = [(i, f"r{i}", f"{filler}The claim of {n} against the harbour office is dismissed. {filler}\nJudge: {n}\nHeld on 3 May") for i, n in enumerate(names)]
+    slots = ["[juridiction]", "«Betrag»", "<NOCH OFFEN>", "___", "[ ]", "00.00.0000", "CLAIMANT"]
+    rows += [(10 + i, f"s{i}", f"{filler}The claim of {x} against the harbour office is dismissed. {filler}") for i, x in enumerate(slots)]
+    rows += [(20, "t", "The claim of  against the harbour office is dismissed."), (21, "u", "Judge:\nPlace: Ostbrück"), (30, "v", "{{claimant}}")]
+    clean = ["The claim of Aubell against the harbour office is dismissed.", "The ship «Aurora» left.", "Judge:\nBraet and others heard the case", "The CLAIMANT was late.", "A.___ paid [....] on ___ then"]
+    rows += [(40 + i, f"w{i}", x) for i, x in enumerate(clean)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, ruling_id string, text string")
+    got = {(r.doc_id, r.reason) for r in residue.residue_documents(residue.evidence(frame)).collect()}
+    assert {d for d, reason in got if reason == "slot"} == {*range(10, 17), 20, 21}
+    assert {d for d, _ in got} == {*range(10, 17), 20, 21, 30}
