@@ -77,14 +77,19 @@ _ERROR = re.compile(
     r"|\bdocument\s+demandé\s+ne\s+peut\s+être\s+affiché|\bangeforderte\s+dokument\s+kann\s+nicht|\brequested\s+document\s+(?:cannot|could\s+not)\s+be|\bpyydettyä\s+asiakirjaa\s+ei\s+voi"
     r"|\bupstream\s+server\s+returned|\barchive\s+did\s+not\s+answer|\bdocument\s+is\s+no\s+longer\s+offered|\bsent\s+a\s+request\s+this\s+server|\brate\s+limit\s+exceeded|\bconnection\s+was\s+idle\s+for|\bruling\s+may\s+have\s+been\s+moved"
 )
-# Words of the above in lower case: a text is searched for a pattern only if it has one of the pattern's own.
+_BABBLE = "blah bla blablabla etcetera filler dummy sample test foo bar baz qux asdf qwer qwertz jklö xxx".split()
+_LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor magna aliqua nulla porta quam vitae felis mollis ornare erat eget nunc".split()
+# Words of the above in lower case, _ being a space: a text is searched for a pattern only if it has one of the pattern's
+# own. Every alternative has one: the tests hold examples of each. Runs of filler hold two of its words side by side.
 _HINTS = {
-    _INSTRUCTION: "insert enter click einfügen klicken eingeben insérer cliquez lisää kirjoita syötä completed filled einzusetzen ergänzen compléter täydennettävä",
-    _FILLER: "dummy sample replace später blindtext platzhalter faux fictif remplacer malliteksti täytetekst korvaa blah filler asdf qwer foo lorem ipsum xxxxxxxx",
+    _INSTRUCTION: "text_here name_here date_here amount_here value_here here_to_enter einfügen klicken eingeben insérer cliquez lisää kirjoita syötä completed inserted filled einzusetzen ergänzen compléter täydennettävä",
+    _FILLER: "dummy_copy sample_wording replace_this später blindtext platzhalter faux_texte fictif remplacer malliteksti täytetekst korvaa xxxxxxxx " + " ".join(f"{a}_{b}" for own in (_BABBLE, _LATIN) for a in own for b in own),
     _SCRIPT: "script cookie browser robot roboter human",
-    _ERROR: "title> status traceback fatal warning: error fehler erreur virhe request unauthorized forbidden found gone gateway timeout time-out unavailable exception segmentation .java: gefunden introuvable löytynyt löydynyt access_denied verweigert refusé "
-    "kielletty käytettävissä verfügbar indisponible homepage home startpage startseite accueil etusivulle session sitzung istunto demandé angeforderte requested pyydettyä upstream archive offered rate_limit idle moved logged signed_out abgemeldet déconnecté kirjattu_ulos",
+    _ERROR: "title> status traceback fatal warning: on_line error fehler erreur virhe request unauthorized forbidden found gone gateway timeout time-out unavailable exception segmentation gefunden introuvable löytynyt löyynyt access_denied verweigert refusé "
+    "kielletty käytettävissä verfügbar indisponible home_page homepage start_page startpage startseite accueil etusivulle session sitzung istunto demandé angeforderte requested pyydettyä upstream archive offered rate_limit idle moved logged signed_out abgemeldet déconnecté kirjattu_ulos",
 }
+# The one alternative without words of its own: lines of a stack.
+_CALL = re.compile(r"\([\w.]+:\d")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -230,16 +235,21 @@ def spans(text: str) -> list[tuple[str, bool, str, int, int]]:
     return out
 
 
+def wanted(text: str) -> set[int]:
+    """The patterns to search a text for: those with a word of theirs in it, whatever stands between two words."""
+    out = {i for _, at in _WORDS.iter(" ".join(text.casefold().replace(",", " ").replace(".", " ").split())) for i in at}
+    if _CALL.search(text) is not None:
+        out.add(_PATTERNS.index(_ERROR))
+    return out
+
+
 def certain(text: str) -> bool:
     """Residue, filler, error or script text that no other record is needed to tell."""
     low = text.casefold()
     if "_____" in text or "............" in text or low_variety(low.split()):
         return True
-    wanted = {i for _, at in _WORDS.iter(low) for i in at}
-    if not wanted:
-        return False
-    plain = _QUOTED.sub(" ", text)
-    return any(_PATTERNS[i].search(plain) is not None for i in wanted)
+    plain = _QUOTED.sub(" ", text) if any(c in text for c in "“„”«\"") else text
+    return any(_PATTERNS[i].search(plain) is not None for i in wanted(plain))
 
 
 _KIND = pa.schema([("doc_id", pa.int64()), ("ruling", pa.int64()), ("kind", pa.string()), ("key", pa.string()), ("family", pa.string()), ("sure", pa.bool_()), ("templates", pa.list_(pa.int64()))])

@@ -216,3 +216,27 @@ def test_slots_of_lines_and_sentences(spark):
     got = {(r.doc_id, r.reason) for r in residue.residue_documents(residue.evidence(frame)).collect()}
     assert {d for d, reason in got if reason == "slot"} == {*range(10, 17), 20, 21}
     assert {d for d, _ in got} == {*range(10, 17), 20, 21, 30}
+
+
+GATED = [
+    "type your name here", "add date here", "enter amount\nhere", "insert value  here", "click or tap here to enter text", "text hier einfügen", "hier klicken", "hier text eingeben", "insérer le texte ici", "cliquez ici pour voir",
+    "lisää teksti tähän", "kirjoita tähän", "syötä teksti", "TO BE INSERTED", "TO BE COMPLETED", "TO BE FILLED  IN", "NOCH EINZUSETZEN", "BITTE ERGÄNZEN", "À COMPLÉTER", "TÄYDENNETTÄVÄ", "insert text “a” here",
+    "dummy copy for layout", "this is sample\nwording", "replace this paragraph with", "hier stehen später die", "dies ist blindtext", "platzhalter für den satzspiegel", "faux texte pour la mise", "ceci est un texte fictif", "remplacer ce paragraphe par",
+    "malliteksti taittoa varten", "tämä on täytetekstiä", "korvaa tämä kappale", "bla bla bla bla bla", "test bar xxx xxx bar test", "Foo, bar. baz,qux.. test", "sit amet vitae felis mollis ornare", "sed. Elit, quam\nnunc erat eget", "x" * 12,
+    "please turn on cookies", "bitte aktivieren sie scripting", "veuillez activer java script", "ota scripts käyttöön", "page needs cookies", "you need to allow scripts", "cookies are blocked", "scripts must be on", "<noscript", "your browser blocks",
+    "checking your browser", "confirm that you are human", "vous n'êtes pas un robot", "kein roboter sind", "et ole robotti",
+    "<title> 404", "{\"status\": 500", "Traceback (most recent", "fatal error:", "warning: fopen()", "in a.php on  line 3", "virhe 404", "erreur 500", "fehler 500", "error 404", "Bad Request", "Unauthorized", "403 Forbidden", "Not  Found\nNot Found",
+    "Request Time-out", "Gone", "Too Many Requests", "Internal Server Error", "Bad Gateway", "Service Unavailable", "Gateway Timeout", "x\n at f(x.js:3)", "exception in thread", "ValueError: x", "segmentation fault", "page not\nfound", "seite nicht gefunden",
+    "page introuvable", "sivua ei löytynyt", "sivua ei löyynyt", "access\ndenied", "access  denied", "zugriff verweigert", "accès refusé", "pääsy kielletty", "palvelu ei ole käytettävissä", "dienst nicht verfügbar", "service indisponible",
+    "Back to the start page", "back to  home page", "back to homepage", "back to startpage", "zurück zur startseite", "retour à l'accueil", "palaa etusivulle", "the session has expired", "ihre sitzung ist abgelaufen", "votre session a expiré", "istunto on vanhentunut",
+    "you were signed\nout", "you are logged out", "sie wurden abgemeldet", "vous avez été déconnecté", "teidät on kirjattu  ulos", "document demandé ne peut être affiché", "angeforderte dokument kann nicht", "requested document could not be", "pyydettyä asiakirjaa ei voi",
+    "upstream server returned", "archive did not answer", "document is no longer offered", "sent a request this server", "rate\nlimit exceeded", "connection was idle for", "ruling may have been moved",
+]
+
+
+@pytest.mark.parametrize("text", GATED)
+def test_gate_loses_nothing(text):
+    """A pattern that finds a text is searched in it."""
+    plain = residue._QUOTED.sub(" ", text)
+    hits = {i for i, p in enumerate(residue._PATTERNS) if p.search(plain)}
+    assert hits and hits <= residue.wanted(plain) and residue.certain(text)
