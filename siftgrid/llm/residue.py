@@ -7,7 +7,9 @@ collection: a place is a slot where the line or sentence without it, or with a v
 span in brackets is residue where it stands in a slot, or keeps a variable name: one that template syntax names
 somewhere, or that stands in several kinds of brackets. A blank, a default or a missing value is residue in a slot, a
 bare word in a slot whose name template syntax names elsewhere. Lines that recur in many rulings, and nearly only
-beside certain error or filler text, are templates of such pages; records with one are flagged as well.
+beside certain error or filler text, are templates of such pages; records with one are flagged as well. So are lines of
+a text that is the same in many rulings, heading aside, has no numbered paragraphs, and whose lines stand nearly nowhere
+else: a page in the ruling's place, whatever its wording.
 """
 
 from __future__ import annotations
@@ -123,6 +125,8 @@ _BLANKS = ("__", "....", "[]", "[ ", "()", "( ", "{}", "{ ", "<>", "< ", "«»",
 _DEFAULTS = ("0000", "yyyy", "jjjj", "aaaa", "vvvv", "tbd", "tbc")
 _WORD = re.compile(r"[A-ZÀ-Þ]{4,}(?:[_.][A-ZÀ-Þ]+)*(?=[\s.,;:)]|$)")
 _JOINED = re.compile(r"[a-zß-ÿ]+(?:_[a-zß-ÿ]+)+(?=[\s.,;:)]|$)")
+_CODE = re.compile(r"\S*0\S*")
+_NUMBERED = re.compile(r"(?m)^[ \t]*(?:\w{1,4}\.[ \t]*)?[\[(]?\d{1,3}[.)\]]*[ \t]+[^\W\d_]{2}[^\n]{30}")
 _CAPTION = r"[^\W\d_][^\s:]{0,24}(?:[ \t][^\s:]{1,24}){0,2}"
 _LABEL = re.compile(rf"(?m)^[ \t]*({_CAPTION}):[ \t]*(?:(?=\S)|\r?$(?=\s*(?:{_CAPTION}:|\Z)))")
 
@@ -163,6 +167,15 @@ def line_template(line: str) -> int:
     return xxhash.xxh64_intdigest(_RUN.sub("N", " ".join(kept)) if lower else " ".join(words).replace("0", "")) - 2**63
 
 
+def body(text: str) -> list[str]:
+    """The lines from the first with four words in lower case on; none if paragraphs are numbered."""
+    if _NUMBERED.search(text) is not None:
+        return []
+    lines = [x for x in text.splitlines() if x.strip()]
+    first = next((i for i, x in enumerate(lines) if sum(map(str.islower, x.split())) > 3), len(lines))
+    return lines[first:]
+
+
 def label_template(label: str) -> int:
     """A hash of a line that gives a value for the label."""
     return xxhash.xxh64_intdigest("\0" + label.casefold()) - 2**63
@@ -298,6 +311,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((doc, group, "blank", None, None, False, [label_template(m.group(1))]))
             if sure:
                 rows.append((doc, group, "sure", None, None, True, None))
+            if whole := body(text):
+                rows.append((doc, group, "body", xxhash.xxh64_hexdigest(_CODE.sub("0", " ".join(" ".join(whole).split()))), None, sure, list(set(map(line_template, whole)))))
             rows.append((doc, group, "lines", None, None, sure, list(lines)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(list(zip(*rows, strict=True)) if rows else [[]] * 7, _KIND, strict=True)], schema=_KIND)
 
@@ -329,5 +344,12 @@ def residue_documents(found: DataFrame, rulings: int = RULINGS, share: float = S
     places = names.select("doc_id", "templates").unionByName(found.filter("kind = 'blank'").select("doc_id", "templates")).unionByName(bare.select("doc_id", "templates"))
     aligned = places.select("doc_id", F.explode("templates").alias("template")).join(templates.select("template"), "template", "left_semi").select("doc_id", F.lit("slot").alias("reason"))
     pages = templates.filter(F.col("s") >= share * F.col("n")).select("template")
+    bodies = found.filter("kind = 'body'").select("key", "ruling", "doc_id", "sure", "templates")
+    repeated = bodies.groupBy("key").agg(F.count_distinct("ruling").alias("rulings")).filter(F.col("rulings") >= rulings).select("key")
+    stand = bodies.join(repeated, "key", "left_semi").select("key", "doc_id", "sure", F.explode("templates").alias("template"))
+    own = stand.filter("NOT sure").groupBy("template").agg(F.count(F.lit(1)).alias("r"))
+    own = own.join(templates, "template").withColumn("only", F.col("r") + F.col("s") >= share * F.col("n")).select("template", "only")
+    whole = stand.select("key", "template").distinct().join(own, "template").groupBy("key").agg(F.bool_and("only").alias("only")).filter("only").select("key")
+    pages = pages.unionByName(stand.join(whole, "key", "left_semi").select("template")).distinct()
     paged = lines.filter("NOT sure").join(pages, "template", "left_semi").select("doc_id", F.lit("page").alias("reason"))
     return sure.unionByName(named).unionByName(aligned).unionByName(paged).distinct()

@@ -240,3 +240,15 @@ def test_gate_loses_nothing(text):
     plain = residue._QUOTED.sub(" ", text)
     hits = {i for i, p in enumerate(residue._PATTERNS) if p.search(plain)}
     assert hits and hits <= residue.wanted(plain) and residue.certain(text)
+
+
+def test_pages_of_unknown_wording(spark):
+    """A whole text that recurs over rulings is a page whatever it says; what rulings say too, and bare headers, are none."""
+    page = "The reading room is shut for stocktaking at this time\nWe hope to welcome you again on Monday"
+    rows = [(i, f"r{i}", f"Court of Braet{i}\nNo. {i}/20\n\n{page}") for i in range(10)] + [(10, "r10", f"{page}\nCosts follow.")]
+    rows += [(20 + i, f"s{i}", "Ostmann v. Braet\n\nThe appeal is dismissed with costs to be taxed") for i in range(5)]
+    rows += [(30 + i, f"t{i}", "Ostmann v. Braet\n\n1. The appellant relied on a deed of the year before.\n\nThe appeal is dismissed with costs to be taxed") for i in range(5)]
+    rows += [(40 + i, f"u{i}", f"Court of Appeal of Ostbrück\nR 2/{i}") for i in range(5)] + [(50 + i, "v", "The ledger was kept by the two clerks of the yard") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, ruling_id string, text string")
+    got = {(r.doc_id, r.reason) for r in residue.residue_documents(residue.evidence(frame)).collect()}
+    assert got == {(i, "page") for i in range(11)}
