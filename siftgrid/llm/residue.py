@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from operator import eq
 
 import ahocorasick
 import pyarrow as pa
@@ -220,12 +221,17 @@ def probes(places: list[tuple[str, str]], without: bool) -> list[int]:
 
 
 def low_variety(words: list[str]) -> bool:
-    """A word of letters stands some seven times in a row, or a dozen words of letters have four distinct ones at most."""
-    for window, most in ((4, 1), (12, 4)):
-        for i in range(0, len(words) - window + 1, window):
-            part = words[i : i + window]
-            if len(set(part)) <= most and sum(w.strip(".,").isalpha() for w in part) * 4 >= 3 * window:
-                return True
+    """A word of letters stands four times in a row, or a dozen words of letters have four distinct ones at most, wherever
+    they begin. Every run holds a whole pair or half dozen, counted from the first word, that is alike: only those are looked around.
+    """
+    alike = [2 * i for i, same in enumerate(map(eq, words[::2], words[1::2])) if same]
+    halves = [i for i in range(0, len(words) - 5, 6) if len(set(words[i : i + 6])) < 5]
+    for window, most, size, starts in ((4, 1, 2, alike), (12, 4, 6, halves)):
+        for at in starts:
+            for i in range(max(0, at + size - window), min(at, len(words) - window) + 1):
+                part = words[i : i + window]
+                if len(set(part)) <= most and sum(w.strip(".,").isalpha() for w in part) * 4 >= 3 * window:
+                    return True
     return False
 
 

@@ -252,3 +252,11 @@ def test_pages_of_unknown_wording(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, ruling_id string, text string")
     got = {(r.doc_id, r.reason) for r in residue.residue_documents(residue.evidence(frame)).collect()}
     assert got == {(i, "page") for i in range(11)}
+
+
+@pytest.mark.parametrize("offset", range(13))
+def test_low_variety_at_any_offset(offset):
+    before = [f"w{chr(97 + i)}" for i in range(offset)]
+    assert residue.low_variety([*before, *["text"] * 4, "end"])
+    assert residue.low_variety([*before, *["la", "le", "li", "lo"] * 3, "end"])
+    assert not residue.low_variety([*before, *["text"] * 3, "end"]) and not residue.low_variety([*before, *["la", "le", "li", "lo", "lu"] * 3])
