@@ -149,7 +149,7 @@ def fill_containers(items: DataFrame, kinds: DataFrame, shard: int = SHARD) -> D
     out. ``kinds`` is a setting, the sizes in use, and does not grow with the items: up to KINDS of them are a constant of
     the plan, more raise ValueError. ``items`` is read several times and must be computed already (a table or a
     checkpoint), so that a row that is read again after a failure falls into the same shard; its shard does not depend
-    on its id, which many rows may share.
+    on its id, which many rows may share. Containers of full pieces are named by the row's position, shared ones by shard.
     """
     sizes = kinds.filter("capacity > 0").select("container_kind", F.col("capacity").cast("bigint")).distinct().sort("capacity", "container_kind").head(KINDS + 1)
     if len(sizes) > KINDS:
@@ -160,8 +160,8 @@ def fill_containers(items: DataFrame, kinds: DataFrame, shard: int = SHARD) -> D
     constant = constant if sizes else F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
     crossed = items.withColumn("k", F.explode(constant)).select("doc_id", "size", "at", "k.container_kind", "k.capacity")
     crossed = crossed.withColumn("full", F.expr("size div capacity")).withColumn("last", F.expr("size % capacity"))
-    whole = crossed.filter("full > 0").select("container_kind", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
-    whole = whole.select("container_kind", F.concat_ws("-", F.lit("whole"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("container_id"), "doc_id", "piece", F.col("capacity").alias("tokens"))
+    whole = crossed.filter("full > 0").select("container_kind", "doc_id", "at", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
+    whole = whole.select("container_kind", F.concat_ws("-", F.lit("whole"), F.col("at").cast("string"), F.col("piece").cast("string")).alias("container_id"), "doc_id", "piece", F.col("capacity").alias("tokens"))
     empty = crossed.filter("size = 0").select("container_kind", F.lit(None).cast("string").alias("container_id"), "doc_id", F.lit(0).cast("bigint").alias("piece"), F.col("size").alias("tokens"))
     rest = crossed.filter("last > 0").select("container_kind", "capacity", "doc_id", F.col("full").alias("piece"), F.col("last").alias("tokens"), F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int").alias("shard"))
     kind = items.schema["doc_id"].dataType.simpleString()

@@ -260,3 +260,14 @@ def test_low_variety_at_any_offset(offset):
     assert residue.low_variety([*before, *["text"] * 4, "end"])
     assert residue.low_variety([*before, *["la", "le", "li", "lo"] * 3, "end"])
     assert not residue.low_variety([*before, *["text"] * 3, "end"]) and not residue.low_variety([*before, *["la", "le", "li", "lo", "lu"] * 3])
+
+
+def test_full_pieces_of_equal_ids(spark):
+    """Rows of one id, or of none, that are longer than the capacity do not share containers."""
+    frame = spark.createDataFrame([(7, 25), (7, 25), (None, 31), (None, 31)], "doc_id bigint, tokens bigint")
+    kinds = spark.createDataFrame([("k", 10)], "container_kind string, capacity int")
+    filled = packing.fill_containers(frame, kinds)
+    loads = filled.groupBy("container_id").agg(F.sum("tokens").alias("t")).collect()
+    assert sum(r.t for r in loads) == 112 and max(r.t for r in loads) <= 10
+    assert sum(r.container_id.startswith("whole") for r in loads) == 10
+    assert packing.fill_report(filled, kinds).first().containers == len(loads)
