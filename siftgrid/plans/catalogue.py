@@ -220,6 +220,12 @@ def bits_membership(spark, d):
     return spark.range(20).withColumnRenamed("id", "row_id").join(a.positions.withColumn("p", F.lit(True)), "row_id", "left").select("row_id", F.coalesce("p", F.lit(False)).alias("present"))
 
 
+@query(f"WITH {_BITS}, {_N} SELECT r.range AS row_id, r.range IN (SELECT row_id FROM a) AS present FROM range((SELECT n FROM n)) r")
+def bits_membership_all(spark, d):
+    a = _abc(spark, d)[0]
+    return spark.range(a.n).withColumnRenamed("id", "row_id").join(a.positions.withColumn("p", F.lit(True)), "row_id", "left").select("row_id", F.coalesce("p", F.lit(False)).alias("present"))
+
+
 @query(f"WITH {_BITS}, {_N} SELECT count(*) AS f, any_value(n) AS n FROM a, n")
 def bits_count(spark, d):
     a = _abc(spark, d)[0]
