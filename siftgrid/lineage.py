@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the session names, else a local one (tests only).
+    """The folder for checkpoints: the one the session names in ``spark.checkpoint.dir``, which all executors share.
 
-    A cluster names a folder that all executors share in ``spark.checkpoint.dir``; only where that
-    setting is absent and none was set on the context is a temporary folder chosen.
+    Only on a local master (tests, one machine), where that setting is absent and none was set on the context, a temporary folder is
+    chosen and removed at exit; on a cluster its absence raises RuntimeError, since a folder of one machine would not survive.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftgrid-checkpoint-"))
+        if named is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="siftgrid-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder; later reads start from those files."""
+    """``df`` computed once and written to the checkpoint folder; later reads start from those files.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes them when the frame is no longer used.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder as a Parquet table, compressed and in folders of ``by``, so
+    that later reads take the columns and folders they need. It is part of the context's checkpoints and removed with their folder."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
