@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgrid.lineage import cut
+from siftgrid.lineage import cut, written
 from siftgrid.llm import distinctive, encode, frequency, overlap, packing, residue, similar, together
 from siftgrid.llm.terms import record_sets
 from siftgrid.sources.tables import table
@@ -198,7 +198,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_reasons(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, reason) of documents with template residue, filler, error or script text."""
-    return residue.residue_documents(cut(residue.evidence(table(spark, d, "documents").select("doc_id", "ruling_id", "text"))))
+    return residue.residue_documents(written(residue.evidence(table(spark, d, "documents").select("doc_id", "ruling_id", "text")), "kind"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,15 +1,22 @@
-"""Problem 8: template residue, filler, error pages and script notices.
-
-One pass over the texts takes three kinds of evidence from each record: what is certain by itself (template syntax that
-still names its field, blanks, filler, error and script pages), spans that may be a field left in its slot, and the
-template of each line and sentence, whatever its length. Records of the same template are then aligned over the whole
-collection: a place is a slot where the line or sentence without it, or with a value in it, is that of other rulings. A
-span in brackets is residue where it stands in a slot, or keeps a variable name: one that template syntax names
-somewhere, or that stands in several kinds of brackets. A blank, a default or a missing value is residue in a slot, a
-bare word in a slot whose name template syntax names elsewhere. Lines that recur in many rulings, and nearly only
-beside certain error or filler text, are templates of such pages; records with one are flagged as well. So are lines of
-a text that is the same in many rulings, heading aside, has no numbered paragraphs, and whose lines stand nearly nowhere
-else: a page in the ruling's place, whatever its wording.
+"""Problem 8: template residue, filler, error pages and script notices, by aligning records of the same template.
+
+What a collection writes over and over is its template; what differs from record to record stands in the template's
+slots. One pass over the texts cuts each into lines and sentences and takes their templates (words in lower case kept, each
+run of names, numbers and codes one slot). Then the whole collection decides:
+
+* A slot that kept its field's name, a default, a blank or nothing. A place (a span in any brackets, a blank, a default, a
+  gap, a bare word in capitals) is a slot where the line or sentence with a value in it, or without it, is that of other
+  rulings. A span that is written as programs write names is residue by itself, and one whose name stands in such syntax,
+  or in several kinds of brackets, elsewhere.
+* A whole page in the ruling's place. A line or sentence of several rulings that is no slotted template and stands, in a
+  good share of its records, without any prose that gives a number or date is the template of a page; every record that holds it is
+  flagged, also where a ruling surrounds it.
+* Filler. Sentences of several rulings without any slot that never share a paragraph with a sentence that gives a
+  number or date, though they stand where a paragraph of the reasons does; and paragraphs whose words do not occur in such
+  paragraphs at all, whatever their order.
+
+There are no lists of wording: what a page or filler says is learned from where it stands. Fixed are only the syntax of
+placeholders and markup, and the words by which courts mark redactions (which are no residue).
 """
 
 from __future__ import annotations
@@ -19,22 +26,25 @@ import unicodedata
 from collections.abc import Iterator
 from operator import eq
 
-import ahocorasick
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RULINGS, SHARE = 4, 0.9
-_ROWS = 512
+#: A template has this many rulings. Of a page's records this share has no other prose that gives a number or date. Of a filler
+#: sentence's records at most STRAY have a number or date in its paragraph, of a foreign word's at most FOREIGN. A template is
+#: fixed, not slotted, if it has two forms or one for this share of its records.
+RULINGS, BARE, STRAY, FOREIGN, FORMS = 4, 0.3, 0.1, 0.25, 0.1
+_ROWS, _HELD = 512, 200_000
 
-_NAME = r"[^\W\d_][\w.\-\s]{0,48}?"
+# A name of up to six words.
+_NAME = r"[^\W\d_][\w.\-]*(?:\s+[\w.\-]+){0,5}?"
 # Syntax that template languages use for a field; the field's name is the group.
 _SURE = [
-    ("double braces", r"\{\{\s*([^{}]{1,60}?)\s*\}\}"), ("dollar braces", r"\$\{\s*([^{}]{1,60}?)\s*\}"), ("hash braces", r"#\{\s*([^{}]{1,60}?)\s*\}"),
-    ("percent tag", r"<%[=-]?\s*([^<>]{1,60}?)\s*%>"), ("brace percent", r"\{%=?\s*([^{}]{1,60}?)\s*%\}"), ("merge field", r"\{\s*MERGEFIELD\s+([^{}]{1,60}?)\s*\}"),
-    ("format", rf"%\(({_NAME})\)[sd]"), ("double angles", r"<<\s*([^<>]{1,60}?)\s*>>"), ("double at", r"@@([^@]{1,60})@@"), ("underlines", r"(?<![\w_])__([^\W_][^\s_]*(?:_[^\s_]+)*)__(?![\w_])"),
-    ("double brackets", r"\[\[\s*([^\[\]]{1,60}?)\s*\]\]"), ("dots", r"\[●\s*([^●]{1,60}?)\s*●\]"), ("position", r"\{(\d{1,2})\}"),
+    ("double braces", r"\{\{\s*([^{}]+?)\s*\}\}"), ("dollar braces", r"\$\{\s*([^{}]+?)\s*\}"), ("hash braces", r"#\{\s*([^{}]+?)\s*\}"),
+    ("percent tag", r"<%[=-]?\s*([^<>]+?)\s*%>"), ("brace percent", r"\{%=?\s*([^{}]+?)\s*%\}"), ("merge field", r"\{\s*MERGEFIELD\s+([^{}]+?)\s*\}"),
+    ("format", rf"%\(({_NAME})\)[sd]"), ("double angles", r"<<\s*([^<>]+?)\s*>>"), ("double at", r"@@([^@]+)@@"), ("underlines", r"(?<![\w_])__([^\W_][^\s_]*(?:_[^\s_]+)*)__(?![\w_])"),
+    ("double brackets", r"\[\[\s*([^\[\]]+?)\s*\]\]"), ("dots", r"\[●\s*([^●]+?)\s*●\]"), ("position", r"\{(\d{1,2})\}"),
 ]
 # Brackets and signs that may also stand for something else.
 _MAYBE = [
@@ -43,91 +53,36 @@ _MAYBE = [
 ]
 _SPANS = [(f, True, re.compile(p)) for f, p in _SURE] + [(f, False, re.compile(p)) for f, p in _MAYBE]
 _UNUSUAL = frozenset(("braces", "escaped angles", "percents", "dollars", "tildes"))
-_OPENS = re.compile(r"[{<«~$@]|%(?=[\w(=])|#(?=\{)|&(?=lt;)|__|\[(?=[^\W\d_]|[\[●])(?!exhibits )")
-_QUOTED = re.compile(r"“[^“”]{1,80}”|„[^“”„]{1,80}[“”]|”[^”]{1,80}”|«\s[^«»]{1,80}\s»|(?<=\s)\"[^\"\n{}:]{1,60}\"(?=[\s.,;])")
+_OPENS = re.compile(r"[{<«~$@%#&_\[](?:(?<=[{<«~$@])|(?<=%)(?=[\w(=])|(?<=#)(?=\{)|(?<=&)(?=lt;)|(?<=_)_|(?<=\[)(?=[^\W\d_]|[\[●])(?!exhibits ))")
 
 # Words by which courts mark that they withheld something, and HTML elements.
 _REDACTED = re.compile(r"(?i)withheld|redact|remov|anonym|omi(tt|s\b)|geschwärzt|ausgelassen|weggelassen|occult|supprim|caviard|poistettu|salattu|peitetty|illegible|unleserlich|illisible|sic\b|exhibit|emphasis|…|\.\.\.")
 _ELEMENTS = frozenset("a b body br center code div em footer form h1 h2 h3 head header hr html i img input li link main meta nav noscript ol p pre script section small span strong style table tbody td th thead title tr u ul".split())
-# What stands for a value that is to be filled in.
-_INSTRUCTION = re.compile(
-    r"(?i)\b(?:insert|enter|type|add)\s+(?:your\s+)?(?:text|name|date|amount|value)\s+here\b|\bclick\s+(?:or\s+tap\s+)?here\s+to\s+enter\b|\btext\s+hier\s+einfügen\b|\bhier\s+(?:klicken|text\s+eingeben)"
-    r"|\binsérer\s+(?:le\s+)?texte\s+ici\b|\bcliquez\s+ici\s+pour\b|\blisää\s+teksti(?:\s+tähän)?\b|\bkirjoita\s+(?:teksti\s+)?tähän\b|\bsyötä\s+teksti\b"
-    r"|\bTO\s+BE\s+(?:COMPLETED|INSERTED|FILLED\s+IN)\b|\bNOCH\s+EINZUSETZEN\b|\bBITTE\s+ERGÄNZEN\b|\bÀ\s+COMPLÉTER\b|\bTÄYDENNETTÄVÄ\b"
-)
-# Sentences and words of filler.
-_FILLER = re.compile(
-    r"(?i)\bdummy\s+copy\s+for\s+layout|\bthis\s+is\s+sample\s+wording|\breplace\s+this\s+paragraph\s+with|\bhier\s+stehen\s+später\s+die|\bdies\s+ist\s+(?:ein\s+)?blindtext|\bplatzhalter\s+für\s+den\s+satzspiegel"
-    r"|\bfaux\s+texte\s+pour\s+la\s+mise|\bceci\s+est\s+un\s+texte\s+fictif|\bremplacer\s+ce\s+paragraphe\s+par|\bmalliteksti\s+taittoa\s+varten|\btämä\s+on\s+täytetekstiä|\bkorvaa\s+tämä\s+kappale"
-    r"|(?:\b(?:blah|bla|blablabla|etcetera|filler|dummy|sample|test|foo|bar|baz|qux|asdf|qwer|qwertz|jklö|xxx)\b[\s.,]*){5,}"
-    r"|(?:\b(?:lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|magna|aliqua|nulla|porta|quam|vitae|felis|mollis|ornare|erat|eget|nunc)\b[\s.,]*){6,}"
-    r"|(?:^|\s)x{12,}(?:\s|$)"
-)
-_JS = r"(?:java\s?script|scripting|scripts|cookies)(?:\s+and\s+(?:cookies|java\s?script))?"
-_SCRIPT = re.compile(
-    rf"(?i)\bplease\s+(?:enable|allow|activate|turn\s+on)\s+{_JS}|\bbitte\s+aktivieren\s+sie\s+{_JS}|\bveuillez\s+activer\s+{_JS}|\bota\s+{_JS}\s+käyttöön|\b(?:site|page|app|application|archive)\s+(?:requires|needs)\s+{_JS}"
-    rf"|\byou\s+need\s+to\s+(?:turn\s+on|enable|allow)\s+{_JS}|\b{_JS}\s+(?:is|are)\s+(?:disabled|turned\s+off|blocked|not\s+available)|\b{_JS}\s+must\s+be\s+(?:on|enabled)\b|<noscript|\byour\s+browser\s+(?:blocks|does\s+not\s+support)\b"
-    r"|\bchecking\s+your\s+browser\b|\b(?:prove|verify|confirm)\s+(?:that\s+)?you\s+are\s+(?:not\s+a\s+robot|human)|\bvous\s+n'êtes\s+pas\s+un\s+robot|\bkein\s+roboter\s+sind|\bet\s+ole\s+robotti"
-)
-_STATUS = r"(?:Bad Request|Unauthorized|Forbidden|Not Found|Request Time-?out|Gone|Too Many Requests|Internal Server Error|Bad Gateway|Service Unavailable|Gateway Time-?out)"
-_ERROR = re.compile(
-    rf"(?im)<title>\s*\d{{3}}\b|\{{\s*\"status\"\s*:\s*\d{{3}}|\btraceback\s+\(most\s+recent|^\s*fatal\s+error:|^\s*warning:\s+\w+\(\)|\bon\s+line\s+\d+\s*$|^\s*(?:error|fehler|erreur|virhe)\s+\d{{3}}\b|^\s*(?:\d{{3}}\s+)?{_STATUS}\s*\.?\s*$"
-    r"|^\s+at\s+[\w.$<>]+\([\w.]+:\d+\)|\bexception\s+in\s+thread\b|^\s*\w*(?:error|exception):\s+\S|\bsegmentation\s+fault\b"
-    r"|^\s*(?:page\s+not\s+found|seite\s+nicht\s+gefunden|page\s+introuvable|sivua\s+ei\s+löyt?ynyt|access\s+denied|zugriff\s+verweigert|accès\s+refusé|pääsy\s+kielletty|palvelu\s+ei\s+ole\s+käytettävissä|dienst\s+nicht\s+verfügbar|service\s+indisponible)\s*[.!]?\s*$"
-    r"|^\s*(?:back\s+to\s+(?:the\s+)?(?:home|start)\s?page|zurück\s+zur\s+startseite|retour\s+à\s+l'accueil|palaa\s+etusivulle)\s*$"
-    r"|\b(?:your|the)\s+session\s+has\s+expired|\bihre\s+sitzung\s+ist\s+abgelaufen|\bvotre\s+session\s+a\s+expiré|\bistunto\s+on\s+vanhentunut"
-    r"|\byou\s+(?:have\s+been|are|were)\s+(?:logged|signed)\s+out|\bsie\s+wurden\s+abgemeldet|\bvous\s+avez\s+été\s+déconnecté|\b(?:sinut|teidät)\s+on\s+kirjattu\s+ulos"
-    r"|\bdocument\s+demandé\s+ne\s+peut\s+être\s+affiché|\bangeforderte\s+dokument\s+kann\s+nicht|\brequested\s+document\s+(?:cannot|could\s+not)\s+be|\bpyydettyä\s+asiakirjaa\s+ei\s+voi"
-    r"|\bupstream\s+server\s+returned|\barchive\s+did\s+not\s+answer|\bdocument\s+is\s+no\s+longer\s+offered|\bsent\s+a\s+request\s+this\s+server|\brate\s+limit\s+exceeded|\bconnection\s+was\s+idle\s+for|\bruling\s+may\s+have\s+been\s+moved"
-)
-_BABBLE = "blah bla blablabla etcetera filler dummy sample test foo bar baz qux asdf qwer qwertz jklö xxx".split()
-_LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor magna aliqua nulla porta quam vitae felis mollis ornare erat eget nunc".split()
-# Words of the above in lower case, _ being a space: a text is searched for a pattern only if it has one of the pattern's
-# own. Every alternative has one: the tests hold examples of each. Runs of filler hold two of its words side by side.
-_HINTS = {
-    _INSTRUCTION: "text_here name_here date_here amount_here value_here here_to_enter einfügen klicken eingeben insérer cliquez lisää kirjoita syötä completed inserted filled einzusetzen ergänzen compléter täydennettävä",
-    _FILLER: "dummy_copy sample_wording replace_this später blindtext platzhalter faux_texte fictif remplacer malliteksti täytetekst korvaa xxxxxxxx " + " ".join(f"{a}_{b}" for own in (_BABBLE, _LATIN) for a in own for b in own),
-    _SCRIPT: "script cookie browser robot roboter human",
-    _ERROR: "title> status traceback fatal warning: on_line error fehler erreur virhe request unauthorized forbidden found gone gateway timeout time-out unavailable exception segmentation gefunden introuvable löytynyt löyynyt access_denied verweigert refusé "
-    "kielletty käytettävissä verfügbar indisponible home_page homepage start_page startpage startseite accueil etusivulle session sitzung istunto demandé angeforderte requested pyydettyä upstream archive offered rate_limit idle moved logged signed_out abgemeldet déconnecté kirjattu_ulos",
-}
-# The one alternative without words of its own: lines of a stack.
-_CALL = re.compile(r"\([\w.]+:\d")
-
-
-def _automaton() -> ahocorasick.Automaton:
-    own: dict[str, list[int]] = {}
-    for i, words in enumerate(_HINTS.values()):
-        for word in words.split():
-            own.setdefault(word, []).append(i)
-    found = ahocorasick.Automaton()
-    for word, at in own.items():
-        found.add_word(word.replace("_", " "), tuple(at))
-    found.make_automaton()
-    return found
-
-
-_WORDS, _PATTERNS = _automaton(), list(_HINTS)
 _CAMEL = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
 _JOINTS = re.compile(r"[\s._\-]+")
 _DIGITS, _DIGIT = re.compile(r"\d+"), re.compile(r"[1-9]")
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _LIGATURES = (("\ufb01", "fi"), ("\ufb02", "fl"))
 _DIVIDED = re.compile(r"(?<=[a-zß-ÿ])-\r?\n(?=[a-zß-ÿ])")
-_MISREAD = re.compile(r"(?<=[a-zß-ÿ])[01](?=[a-zß-ÿ])")
-_SENTENCE = re.compile(r"[.!?\n](?:(?<=\n)\s*\n|(?<=[a-zß-ÿ]{3}[.!?])\s+(?=[A-ZÀ-Þ„“«<{\[(]))")
-_RUN = re.compile("N(?: N)+")
+_MISREAD = re.compile(r"[01](?<=[a-zß-ÿ].)(?=[a-zß-ÿ])")
 # What may stand in a slot for a value: blanks and empty brackets, defaults, and nothing between two spaces or before a sign.
 # Underlines after a letter and dots in brackets are redactions.
 _BLANK = re.compile(r"(?<![\w.])_{2,}(?!\w)|(?<![\w.\[(])\.{4,}(?![\w.\])])|\[[ \t]*\]|\([ \t]*\)|\{[ \t]*\}|<[ \t]*>|«[ \t]*»")
 _DEFAULT = re.compile(r"(?<![^\s(])(?:00?[./-]00?[./-]0000|0000-00-00|(?i:dd[./]mm[./]yyyy|mm[./]dd[./]yyyy|yyyy-mm-dd|tt\.mm\.jjjj|jj[./]mm[./]aaaa|pp\.kk\.vvvv|tbd|tbc))(?=[\s.,;:)]|$)")
-_GAP = re.compile(r" [ \t]+(?=[^\W\d_])|\t[ \t]+(?=[^\W\d_])| (?=[.,])")
+_GAP = re.compile(r"[ \t](?:[ \t]+(?=[^\W\d_])|(?<= )(?=[.,]))")
 _BLANKS = ("__", "....", "[]", "[ ", "()", "( ", "{}", "{ ", "<>", "< ", "«»", "« ", "[\t", "(\t", "{\t", "<\t", "«\t")
 _DEFAULTS = ("0000", "yyyy", "jjjj", "aaaa", "vvvv", "tbd", "tbc")
 _WORD = re.compile(r"[A-ZÀ-Þ]{4,}(?:[_.][A-ZÀ-Þ]+)*(?=[\s.,;:)]|$)")
 _JOINED = re.compile(r"[a-zß-ÿ]+(?:_[a-zß-ÿ]+)+(?=[\s.,;:)]|$)")
-_CODE = re.compile(r"\S*0\S*")
-_NUMBERED = re.compile(r"(?m)^[ \t]*(?:\w{1,4}\.[ \t]*)?[\[(]?\d{1,3}[.)\]]*[ \t]+[^\W\d_]{2}[^\n]{30}")
+# A number that a line begins with, a word before it included; where a sentence ends within a line; how a paragraph ends.
+_NUMBER = r"[ \t]*(?:[^\W\d_]{1,8}\.?[ \t]+)?[\[(§]*\d{1,3}[.)\]:]*[ \t]*[–—-]?[ \t]+(?=\S)"
+_LEADING = re.compile(_NUMBER)
+_STOP = re.compile(r"[.!?…](?<=[^\W\d_][^\W\d_][^\W\d_].)\s+(?=[A-ZÀ-Þ„“«<{\[(\x02])")
+_SENTENCE = re.compile(rf"[.!?…\n](?:(?<=\n)(?:[ \t\r]*\n\s*(?:{_NUMBER})?|{_NUMBER})|(?<=[^\W\d_][^\W\d_][^\W\d_][.!?…])\s+(?=[A-ZÀ-Þ„“«<{{\[(\x02]))")
+_SLOTS = re.compile("N(?: N)+")
+_MARKUP = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
+_ASIDE = ".,;:!?()[]"
+_MEMO = 200_000
 _CAPTION = r"[^\W\d_][^\s:]{0,24}(?:[ \t][^\s:]{1,24}){0,2}"
 _LABEL = re.compile(rf"(?m)^[ \t]*({_CAPTION}):[ \t]*(?:(?=\S)|\r?$(?=\s*(?:{_CAPTION}:|\Z)))")
 
@@ -159,35 +114,77 @@ def is_identifier(inner: str) -> bool:
     return " " not in inner and (re.search(r"[^\W_][_.][^\W_]", inner) is not None or _CAMEL.search(inner) is not None)
 
 
-def line_template(line: str) -> int:
-    """A hash of the line with, beside words in lower case, each run of other words (names, numbers, codes) as one value,
-    and else without digits, which are all 0 in ``line``."""
-    words = line.split()
-    kept = [w if w.islower() else "N" for w in words]
-    lower = kept.count("N") < len(kept)
-    return xxhash.xxh64_intdigest(_RUN.sub("N", " ".join(kept)) if lower else " ".join(words).replace("0", "")) - 2**63
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - 2**63
 
 
-def body(text: str) -> list[str]:
-    """The lines from the first with four words in lower case on; none if paragraphs are numbered."""
-    if _NUMBERED.search(text) is not None:
-        return []
-    lines = [x for x in text.splitlines() if x.strip()]
-    first = next((i for i, x in enumerate(lines) if sum(map(str.islower, x.split())) > 3), len(lines))
-    return lines[first:]
+class _Memo(dict):
+    """A dictionary that computes what it lacks and is emptied when full."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, token: str):
+        if len(self) >= _MEMO:
+            self.clear()
+        value = self[token] = self.make(token)
+        return value
+
+
+def _digit(token: str) -> bool:
+    return any(map(str.isdecimal, token))
+
+
+def _plain(token: str) -> str | None:
+    token = token.strip(_ASIDE)
+    return token if len(token) > 1 and token.isalpha() and token.islower() else None
+
+
+#: A token as it stands in templates, in pieces that are compared word for word, and as a word of prose.
+_MASK, _FOLD, _WORDS = _Memo(lambda w: w if w.islower() and not _digit(w) else "N"), _Memo(lambda w: "0" if _digit(w) else w.casefold()), _Memo(_plain)
+
+
+def masked(tokens: list[str]) -> str:
+    """The tokens with each run of words that are not in lower case (names, numbers, codes) as one slot."""
+    text = " ".join(map(_MASK.__getitem__, tokens))
+    return _SLOTS.sub("N", text) if "N N" in text else text
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, list[list[list[str]]]]]:
+    """Of each paragraph: the number of its sentences, and groups of pieces as tokens.
+
+    The first group is its sentences, whatever lines they run over; if there are several lines, each is a group of the
+    parts of sentences that stand on it. A paragraph ends at a blank line or before a line that begins with a number.
+    """
+    lines: list[str] = []
+
+    def cut() -> tuple[int, list[list[list[str]]]]:
+        sentences = [x.split() for x in " ".join(lines).split("\x1e")]
+        groups = [sentences, *([x.split() for x in line.split("\x1e")] for line in lines)] if len(lines) > 1 else [sentences]
+        return len(sentences), groups
+
+    for line in _STOP.sub("\\g<0>\x1e", text).split("\n"):
+        blank = not line or line.isspace()
+        leading = None if blank else _LEADING.match(line, line[0] == "\x1e")
+        if (blank or leading) and lines:
+            yield cut()
+            lines = []
+        if leading:
+            line = line[leading.end() :]
+        if not blank:
+            lines.append(line)
+    if lines:
+        yield cut()
 
 
 def label_template(label: str) -> int:
     """A hash of a line that gives a value for the label."""
-    return xxhash.xxh64_intdigest("\0" + label.casefold()) - 2**63
+    return digest("\0" + label.casefold())
 
 
-def units(text: str, breaks: list[tuple[int, int]]) -> set[str]:
-    """The lines and the sentences of a text."""
-    ends, starts = [a for a, _ in breaks] + [len(text)], [0] + [b for _, b in breaks]
-    out = {x.strip() for x in text.splitlines()} | {text[a:b].strip() for a, b in zip(starts, ends, strict=True)}
-    out.discard("")
-    return out
+def template(piece: str) -> int:
+    """The hash of a line's or sentence's template, without its leading number."""
+    return digest(masked(_LEADING.sub("", piece.lstrip(), count=1).split()))
 
 
 def around(text: str, breaks: list[tuple[int, int]], start: int, end: int) -> list[tuple[str, str]]:
@@ -214,16 +211,19 @@ def probes(places: list[tuple[str, str]], without: bool) -> list[int]:
     for before, after in places:
         words = before.split() + after.split()
         if len(words) > 1 and any(map(str.islower, words)):
-            out.add(line_template(f"{before} Name {after}"))
+            out.add(template(f"{before} Name {after}"))
             if without:
-                out.add(line_template(f"{before} {after}"))
+                out.add(template(f"{before} {after}"))
     return list(out)
 
 
 def low_variety(words: list[str]) -> bool:
-    """A word of letters stands four times in a row, or a dozen words of letters have four distinct ones at most, wherever
-    they begin. Every run holds a whole pair or half dozen, counted from the first word, that is alike: only those are looked around.
+    """A word of letters stands four times in a row, a dozen words of letters have four distinct ones at most, wherever they
+    begin, or a word of eight letters or more has one distinct letter. Every run holds a whole pair or half dozen, counted
+    from the first word, that is alike: only those are looked around.
     """
+    if any(len(w) > 7 and w.isalpha() and len(set(w)) == 1 for w in set(words)):
+        return True
     alike = [2 * i for i, same in enumerate(map(eq, words[::2], words[1::2])) if same]
     halves = [i for i in range(0, len(words) - 5, 6) if len(set(words[i : i + 6])) < 5]
     for window, most, size, starts in ((4, 1, 2, alike), (12, 4, 6, halves)):
@@ -254,108 +254,208 @@ def spans(text: str) -> list[tuple[str, bool, str, int, int]]:
     return out
 
 
-def wanted(text: str) -> set[int]:
-    """The patterns to search a text for: those with a word of theirs in it, whatever stands between two words."""
-    out = {i for _, at in _WORDS.iter(" ".join(text.casefold().replace(",", " ").replace(".", " ").split())) for i in at}
-    if _CALL.search(text) is not None:
-        out.add(_PATTERNS.index(_ERROR))
-    return out
-
-
-def certain(text: str) -> bool:
-    """Residue, filler, error or script text that no other record is needed to tell."""
-    low = text.casefold()
-    if "_____" in text or "............" in text or low_variety(low.split()):
-        return True
-    plain = _QUOTED.sub(" ", text) if any(c in text for c in "“„”«\"") else text
-    return any(_PATTERNS[i].search(plain) is not None for i in wanted(plain))
-
-
-_KIND = pa.schema([("doc_id", pa.int64()), ("ruling", pa.int64()), ("kind", pa.string()), ("key", pa.string()), ("family", pa.string()), ("sure", pa.bool_()), ("templates", pa.list_(pa.int64()))])
+_KIND = pa.schema(
+    [("doc_id", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("family", pa.string()), ("sure", pa.bool_()), ("keys", pa.list_(pa.int64()))]
+    + [("key", pa.int64()), ("mask", pa.int64()), ("n", pa.int32()), ("bare", pa.int32()), ("mixed", pa.int32()), ("among", pa.int32()), ("bits", pa.int64())]
+)
+
+
+class _Counts:
+    """What one slice of records says about templates, pieces and words, summed before it is sent on."""
+
+    def __init__(self) -> None:
+        self.templates: dict[int, int] = {}
+        self.pieces: dict[int, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
+        self.free: list[tuple[int, set]] = []
+
+    def ordinary(self, word: str) -> bool:
+        """Whether a word stood beside codes so often by now that the collection cannot find it foreign."""
+        n, mixed, _ = self.words[word]
+        return n > 7 and mixed * 4 > n * 3
+
+    def babble(self) -> Iterator[tuple]:
+        """The pieces without codes that may have too few ordinary words."""
+        for doc, words in self.free:
+            rest = [w for w in words if not self.ordinary(w)]
+            if len(rest) * 5 >= len(words) * 4:
+                yield (doc, "free", None, None, None, list(map(digest, words))) + (None,) * 7
+        self.free = []
+
+    def rows(self) -> Iterator[tuple]:
+        signed = lambda x: x - (x >> 63 << 64)
+        for key, bits in self.templates.items():
+            yield None, "template", None, None, None, None, key, None, None, None, None, None, signed(bits)
+        for key, (mask, n, bare, mixed, among, bits) in self.pieces.items():
+            yield None, "piece", None, None, None, None, key, mask, n, bare, mixed, among, signed(bits)
+        for word, (n, mixed, bits) in self.words.items():
+            yield None, "word", None, None, None, None, digest(word), None, n, None, mixed, None, signed(bits)
+
+
+def _places(doc: int, text: str, rows: list[tuple]) -> tuple[bool, str]:
+    """Adds a row for each place that may be a slot without its value; whether one needs no other record to tell, and the
+    text with a mark in place of those."""
+    fields, low = spans(text), text.casefold()
+    sure = "_____" in text or "............" in text or low_variety(low.split())
+    blanks = [(m.start(), m.end(), True) for m in _BLANK.finditer(text)] if any(x in text for x in _BLANKS) else []
+    if any(x in low for x in _DEFAULTS):
+        blanks += [(m.start(), m.end(), True) for m in _DEFAULT.finditer(text)]
+    if any(x in text for x in (" .", " ,", "\t\t", "\t ", "  ")):
+        blanks += [(m.start(), m.end(), False) for m in _GAP.finditer(text) if text[m.start() - 1 : m.start()].isalpha()]
+    words = [(m.group(), m.start(), m.end()) for m in (*_WORD.finditer(text), *(_JOINED.finditer(text) if "_" in text else ())) if text[m.start() - 1 : m.start()] in " \t\r\n(" or not m.start()]
+    breaks: list[tuple[int, int]] = []
+    if fields or blanks or words:
+        breaks = [(m.start() + (text[m.start()] != "\n"), m.end()) for m in _SENTENCE.finditer(text)]
+    for family, plain, inner, start, end in fields:
+        rows.append((doc, "name", field_name(inner), family, plain, probes(around(text, breaks, start, end), True)) + (None,) * 7)
+        sure = sure or plain
+    for start, end, without in blanks:
+        if tried := probes(around(text, breaks, start, end), without):
+            rows.append((doc, "blank", None, None, False, tried) + (None,) * 7)
+    for word, start, end in words:
+        if tried := probes([x for x in around(text, breaks, start, end) if alone(*x)], True):
+            rows.append((doc, "bare", field_name(word), None, False, tried) + (None,) * 7)
+    for m in _LABEL.finditer(text):
+        if not text[m.end() : m.end() + 1].strip():
+            rows.append((doc, "blank", None, None, False, [label_template(m.group(1))]) + (None,) * 7)
+    marks = sorted([(start, end) for *_, start, end in fields] + [(start, end) for start, end, without in blanks if without])
+    if marks:
+        out, at = [], 0
+        for start, end in marks:
+            if start >= at:
+                out += [text[at:start], "\x02"]
+                at = end
+        text = "".join([*out, text[at:]])
+    return sure, text
+
+
+def _record(doc: int, ruling: str | None, text: str, counts: _Counts, rows: list[tuple]) -> None:
+    text = clean(text)
+    bit = 1 << (xxhash.xxh64_intdigest(ruling if ruling is not None else f"\0{doc}") & 63)
+    sure, text = _places(doc, text, rows)
+    if sure:
+        rows.append((doc, "sure", None, None, True, None) + (None,) * 7)
+    if "<" in text:
+        text = _MARKUP.sub("\n", text)
+    for m in _LABEL.finditer(text) if ":" in text else ():
+        if text[m.end() : m.end() + 1].strip():
+            key = label_template(m.group(1))
+            counts.templates[key] = counts.templates.get(key, 0) | bit
+    seen: dict[int, tuple[int, bool, bool, int]] = {}  # of each piece its template, whether codes stand in its paragraph, whether only other sentences do, and which that is if it is one sentence
+    own: set[int] = set()
+    telling: set[int] = set()  # the paragraphs with prose that gives a number or date
+    mixed: set[str | None] = set()
+    free: set[str | None] = set()
+    for at, (sentences, groups) in enumerate(paragraphs(text)):
+        coded = None
+        for line, group in enumerate(groups):
+            folded = [list(map(_FOLD.__getitem__, tokens)) for tokens in group]
+            coded = any("0" in x for x in folded) if coded is None else coded
+            for tokens, fold in zip(group, folded, strict=True):
+                if not tokens:
+                    continue
+                mask = masked(tokens)
+                low = mask.count(" ") + 1 - mask.count("N")
+                code = "0" in fold
+                if low > 1 and not (line and coded and code):
+                    words = set(map(_WORDS.__getitem__, tokens))
+                    words.discard(None)
+                    if not line:
+                        (mixed if coded else free).update(words)
+                    if not code and len(words) > 4:
+                        counts.free.append((doc, words))
+                if low > 3 and code:
+                    telling.add(at)
+                if any("\x02" in x for x in tokens):
+                    continue
+                key = 0
+                if low > 0:
+                    key = digest(mask)
+                    own.add(key)
+                literal = digest("\1" + " ".join(fold))
+                if literal not in seen:
+                    alone = at if sentences == 1 else -1
+                    seen[literal] = (key, coded, sentences > 1 and not coded and not line, alone)
+                    if low > 2:
+                        seen.setdefault(digest("\2" + mask), (1, coded, False, alone))
+    for key in own:
+        counts.templates[key] = counts.templates.get(key, 0) | bit
+    for key, (mask, coded, among, alone) in seen.items():
+        bare = not telling or (len(telling) == 1 and alone in telling)
+        if (row := counts.pieces.get(key)) is None:
+            row = counts.pieces[key] = [mask, 0, 0, 0, 0, 0]
+        row[1] += 1
+        row[2] += bare
+        row[3] += coded
+        row[4] += among
+        row[5] |= bit
+    for word in mixed | free:
+        if (row := counts.words.get(word)) is None:
+            row = counts.words[word] = [0, 0, 0]
+        row[0] += 1
+        row[1] += word in mixed
+        row[2] |= bit
+    rows.append((doc, "record", None, None, None, list(seen), None, None, None, int(not telling)) + (None,) * 3)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        for doc, ruling, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if not text or text.isspace():
-                continue
-            group = xxhash.xxh64_intdigest(ruling if ruling is not None else f"\0{doc}") - 2**63
-            text = clean(text)
-            sure = certain(text)
-            fields = spans(text)
-            low = text.casefold()
-            blanks = [(m.start(), m.end(), True) for m in _BLANK.finditer(text)] if any(x in text for x in _BLANKS) else []
-            if any(x in low for x in _DEFAULTS):
-                blanks += [(m.start(), m.end(), True) for m in _DEFAULT.finditer(text)]
-            if any(x in text for x in (" .", " ,", "\t\t", "\t ")) or "  " in text:
-                blanks += [(m.start(), m.end(), False) for m in _GAP.finditer(text) if text[m.start() - 1 : m.start()].isalpha()]
-            named = [*_WORD.finditer(text), *(_JOINED.finditer(text) if "_" in text else ())]
-            words = [(m.group(), m.start(), m.end()) for m in named if text[m.start() - 1 : m.start()] in " \t\r\n(" or not m.start()]
-            text = _DIGIT.sub("0", text)
-            breaks = [(m.start() + (text[m.start()] != "\n"), m.end()) for m in _SENTENCE.finditer(text)]
-            own = units(text, breaks)
-            for family, plain, inner, start, end in fields:
-                places = around(text, breaks, start, end)
-                own -= {(x + text[start:end] + y).strip() for x, y in places}
-                rows.append((doc, group, "name", field_name(inner), family, plain, probes(places, True)))
-                sure = sure or plain
-            for start, end, without in blanks:
-                places = around(text, breaks, start, end)
-                if without:
-                    own -= {(x + text[start:end] + y).strip() for x, y in places}
-                if tried := probes(places, without):
-                    rows.append((doc, group, "blank", None, None, False, tried))
-            for word, start, end in words:
-                if tried := probes([x for x in around(text, breaks, start, end) if alone(*x)], True):
-                    rows.append((doc, group, "word", field_name(word), None, False, tried))
-            lines = {line_template(x) for x in own}
-            for m in _LABEL.finditer(text):
-                if text[m.end() : m.end() + 1].strip():
-                    lines.add(label_template(m.group(1)))
-                else:
-                    rows.append((doc, group, "blank", None, None, False, [label_template(m.group(1))]))
-            if sure:
-                rows.append((doc, group, "sure", None, None, True, None))
-            if whole := body(text):
-                rows.append((doc, group, "body", xxhash.xxh64_hexdigest(_CODE.sub("0", " ".join(" ".join(whole).split()))), None, sure, list(set(map(line_template, whole)))))
-            rows.append((doc, group, "lines", None, None, sure, list(lines)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(list(zip(*rows, strict=True)) if rows else [[]] * 7, _KIND, strict=True)], schema=_KIND)
+    counts = _Counts()
+    as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(list(zip(*rows, strict=True)) if rows else [[]] * 13, _KIND, strict=True)], schema=_KIND)
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            batch, rows = whole.slice(at, _ROWS), []
+            for doc, ruling, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if text and not text.isspace():
+                    _record(doc, ruling, text, counts, rows)
+            rows += counts.babble()
+            if len(counts.pieces) > _HELD:
+                rows += counts.rows()
+                counts = _Counts()
+            yield as_batch(rows)
+    yield as_batch(list(counts.rows()))
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """(doc_id, ruling, kind, key, family, sure, templates) of documents (doc_id, ruling_id, text); see ``_evidence``.
+    """What documents (doc_id, ruling_id, text) say about places, templates, pieces and words; see ``_record``.
 
-    Null, empty and blank texts give no rows.
+    Null, empty and blank texts give no rows. Counts are summed in the task before they leave it.
     """
-    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_ROWS))
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("ruling_id").cast("string"), "text")
-    return rows.mapInArrow(_evidence, "doc_id bigint, ruling bigint, kind string, key string, family string, sure boolean, templates array<bigint>")
+    return rows.mapInArrow(_evidence, "doc_id bigint, kind string, name string, family string, sure boolean, keys array<bigint>, key bigint, mask bigint, n int, bare int, mixed int, among int, bits bigint")
 
 
-def residue_documents(found: DataFrame, rulings: int = RULINGS, share: float = SHARE) -> DataFrame:
-    """(doc_id, reason) of computed evidence: reason is ``certain``, ``name``, ``slot`` or ``page``; one row for each reason.
+def residue_documents(found: DataFrame, rulings: int = RULINGS, bare: float = BARE, stray: float = STRAY, foreign: float = FOREIGN, share: float = FORMS) -> DataFrame:
+    """(doc_id, reason) of computed evidence: reason is ``certain``, ``name``, ``slot``, ``page`` or ``filler``.
 
-    Line templates are counted over all records with partial sums before the shuffle; records of the same ruling count
-    once for a template's spread, so that versions of one ruling make no template.
+    One row for each reason. Rulings are counted by 64 bits of their hash, so that versions of one ruling make no template
+    and no list of rulings is kept; below 64 rulings the count is at most the true one.
     """
+    # in a collection whose records mostly give no numbers, their absence tells nothing
+    usual = found.filter("kind = 'record'").agg(F.avg("bare")).first()[0]
+    told = F.lit(usual is not None and usual * 3 <= 1)
+    several = F.bit_count(F.bit_or("bits")) >= rulings
     sure = found.filter("kind = 'sure'").select("doc_id", F.lit("certain").alias("reason"))
     names = found.filter("kind = 'name'")
-    known = names.groupBy("key").agg(F.max("sure").alias("sure"), F.count_distinct("family").alias("families")).filter("sure OR families > 1").select("key")
-    named = names.filter("NOT sure").join(known, "key", "left_semi").select("doc_id", F.lit("name").alias("reason"))
-    lines = found.filter("kind = 'lines'").select("doc_id", "ruling", "sure", F.explode("templates").alias("template"))
-    spread = lines.groupBy("template", "ruling").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("sure"), 1)).alias("s"))
-    templates = spread.groupBy("template").agg(F.count(F.lit(1)).alias("rulings"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter(F.col("rulings") >= rulings)
-    bare = found.filter("kind = 'word'").join(names.filter("sure").select("key").distinct(), "key", "left_semi")
-    places = names.select("doc_id", "templates").unionByName(found.filter("kind = 'blank'").select("doc_id", "templates")).unionByName(bare.select("doc_id", "templates"))
-    aligned = places.select("doc_id", F.explode("templates").alias("template")).join(templates.select("template"), "template", "left_semi").select("doc_id", F.lit("slot").alias("reason"))
-    pages = templates.filter(F.col("s") >= share * F.col("n")).select("template")
-    bodies = found.filter("kind = 'body'").select("key", "ruling", "doc_id", "sure", "templates")
-    repeated = bodies.groupBy("key").agg(F.count_distinct("ruling").alias("rulings")).filter(F.col("rulings") >= rulings).select("key")
-    stand = bodies.join(repeated, "key", "left_semi").select("key", "doc_id", "sure", F.explode("templates").alias("template"))
-    own = stand.filter("NOT sure").groupBy("template").agg(F.count(F.lit(1)).alias("r"))
-    own = own.join(templates, "template").withColumn("only", F.col("r") + F.col("s") >= share * F.col("n")).select("template", "only")
-    whole = stand.select("key", "template").distinct().join(own, "template").groupBy("key").agg(F.bool_and("only").alias("only")).filter("only").select("key")
-    pages = pages.unionByName(stand.join(whole, "key", "left_semi").select("template")).distinct()
-    paged = lines.filter("NOT sure").join(pages, "template", "left_semi").select("doc_id", F.lit("page").alias("reason"))
-    return sure.unionByName(named).unionByName(aligned).unionByName(paged).distinct()
+    known = names.groupBy("name").agg(F.max("sure").alias("sure"), F.count_distinct("family").alias("families")).filter("sure OR families > 1").select("name")
+    named = names.filter("NOT sure").join(known, "name", "left_semi").select("doc_id", F.lit("name").alias("reason"))
+    words = found.filter("kind = 'bare'").join(names.filter("sure").select("name").distinct(), "name", "left_semi")
+    places = names.select("doc_id", "keys").unionByName(found.filter("kind = 'blank'").select("doc_id", "keys")).unionByName(words.select("doc_id", "keys"))
+    templates = found.filter("kind = 'template'").groupBy("key").agg(several.alias("several")).filter("several").select("key")
+    aligned = places.select("doc_id", F.explode("keys").alias("key")).distinct().join(templates, "key", "left_semi").select("doc_id", F.lit("slot").alias("reason"))
+
+    pieces_ = found.filter("kind = 'piece'").groupBy("key").agg(F.first("mask").alias("mask"), *(F.sum(c).alias(c) for c in ("n", "bare", "mixed", "among")), several.alias("several"))
+    forms = pieces_.filter("mask NOT IN (0, 1)").groupBy("mask").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("of"), F.sum("mixed").alias("of_mixed"))
+    fixed = (F.col("forms") <= 2) | (F.col("forms") <= share * F.col("of"))
+    judged = pieces_.filter("several").join(forms, "mask", "left")
+    often = (F.col("bare") >= bare * F.col("n")) & (F.col("bare") >= 3)
+    mostly = often & (F.col("bare") * 2 >= F.col("n"))
+    page = F.when(F.col("mask").isin(0, 1), mostly).otherwise(often & fixed)
+    filler = ~F.col("mask").isin(0, 1)
+    filler = filler & fixed & (F.col("mixed") <= stray * F.col("n")) & (F.col("of_mixed") <= stray * F.col("of")) & (F.col("among") >= bare * F.col("n"))
+    foreign_pieces = judged.select("key", F.when(told & page, F.lit("page")).when(told & filler, F.lit("filler")).alias("reason")).filter("reason IS NOT NULL")
+    stands = found.filter("kind = 'record'").select("doc_id", F.explode("keys").alias("key")).join(foreign_pieces, "key").select("doc_id", "reason")
+
+    foreign_words = found.filter("kind = 'word'").groupBy("key").agg(F.sum("n").alias("n"), F.sum("mixed").alias("mixed"), several.alias("several")).filter((F.col("mixed") <= foreign * F.col("n")) & F.col("several")).select("key", F.lit(1).alias("own"))
+    free = found.filter("kind = 'free'").select("doc_id", F.monotonically_increasing_id().alias("at"), F.explode("keys").alias("key"))
+    babble = free.join(foreign_words, "key", "left").groupBy("doc_id", "at").agg(F.count("own").alias("foreign"), F.count(F.lit(1)).alias("all")).filter(told & (F.col("foreign") * 5 >= F.col("all") * 4)).select("doc_id", F.lit("filler").alias("reason"))
+    return sure.unionByName(named).unionByName(aligned).unionByName(stands).unionByName(babble).distinct()
