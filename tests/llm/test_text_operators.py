@@ -92,32 +92,44 @@ def test_encode_frame(spark, reference):
 def test_nonnegative_least_squares():
     rng = np.random.default_rng(1)
     for _ in range(20):
-        a = rng.integers(0, 3, (8, 20)).astype(float)
+        rows = rng.integers(0, 9, (20, 3))
+        a = np.stack([np.bincount(r, minlength=9)[:8] for r in rows], 1).astype(float)
         truth = np.maximum(0, rng.normal(size=20))
-        x = packing.nonnegative_least_squares(a, a @ truth)
-        assert (x >= 0).all() and np.allclose(a @ x, a @ truth, atol=1e-6)
+        x = packing.nonnegative_least_squares(rows, 8, a @ truth, rounds=20_000)
+        assert (x >= 0).all() and np.allclose(a @ x, a @ truth, atol=1e-4)
     b = rng.normal(size=8)
-    x = packing.nonnegative_least_squares(a, b)
+    x = packing.nonnegative_least_squares(rows, 8, b, rounds=20_000)
     gradient = a.T @ (b - a @ x)
-    assert gradient.max() < 1e-6 and abs(gradient @ x) < 1e-6
+    assert gradient.max() < 1e-4 and abs(gradient @ x) < 1e-4
 
 
 @pytest.mark.parametrize("capacity", [1, 7, 64, 100, 1024])
 def test_pack(capacity):
     rng = np.random.default_rng(capacity)
     for n in (0, 1, 2, 500, 3000):
-        for most in (capacity, max(1, capacity // 9)):
+        for most in (capacity, max(1, capacity // 9), max(1, capacity // 40)):
             sizes = rng.integers(1, most + 1, n)
-            box = packing.pack(sizes, capacity)
+            box, patterned = packing.pack(sizes, capacity)
+            assert len(box) == len(patterned) == n
             if n:
                 load = np.bincount(box, weights=sizes)
                 assert box.min() == 0 and load.max() <= capacity and load.min() > 0
-                assert len(load) <= 1.25 * sizes.sum() / capacity + 8 or most > capacity / 2
+                assert len(load) <= 1.1 * sizes.sum() / capacity + 8 or most > capacity / 2
+            if n == 3000:
+                assert patterned.mean() > 0.85
 
 
 def test_pack_of_pairs_is_perfect():
     sizes = np.repeat([700, 324], 400)
-    assert packing.pack(sizes, 1024).max() + 1 == 400
+    box, patterned = packing.pack(sizes, 1024)
+    assert box.max() + 1 == 400 and patterned.mean() > 0.9
+
+
+def test_patterns_leave_whole_compartments():
+    rows, room = packing.patterns(np.array([10, 25, 40, 55]), 100, 30, 30)
+    lengths = np.array([10, 25, 40, 55, 0])
+    total = lengths[rows].sum(1)
+    assert (total <= 100).all() and (room == (100 - total) % 30).all() and (lengths[rows[:, 0]] > 30).all()
 
 
 def test_fill_containers_of_one_id_in_shards(spark):
