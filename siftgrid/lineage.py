@@ -28,18 +28,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder; later reads start from those files.
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder as a Parquet table; later reads start from those files.
 
-    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes them when the frame is no longer used.
+    A table is compressed, read by column, and made in one pass, where a checkpoint of rows computes its last stage
+    twice. It lies in the context's own checkpoint folder, in folders of ``by`` if named, and goes with that.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder as a Parquet table, compressed and in folders of ``by``, so
-    that later reads take the columns and folders they need. It is part of the context's checkpoints and removed with their folder."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
