@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgrid.lineage import cut, written
+from siftgrid.lineage import cut
 from siftgrid.llm import distinctive, encode, frequency, overlap, packing, residue, similar, together
 from siftgrid.llm.terms import record_sets
 from siftgrid.sources.tables import table
@@ -20,7 +20,8 @@ def p1_counters(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(frequency.text_tokens(table(spark, d, "animal"), "animal.features", "row_id", "features"))
         .unionByName(frequency.key_tokens(table(spark, d, "posting"), "posting"))
     )
-    return frequency.marked_terms(cut(frequency.term_counters(tokens)))
+    shards = frequency.shards_of(table(spark, d, "posting")) + frequency.shards_of(table(spark, d, "article"))
+    return frequency.marked_terms(frequency.term_counters(tokens, shards), frequency.record_counts(tokens))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,31 +40,28 @@ def _set_records(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("uid", F.col("id") * 2 + F.when(F.col("is_article"), 0).otherwise(1))
 
 
-def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    classes, members = similar.set_classes(cut(_set_records(spark, d)))
-    classes, members = cut(classes), cut(members)
-    return classes, members.join(classes.select("digest", "cls"), "digest").select("uid", "cls"), similar.similar_classes(classes)
+def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The computed classes of equal sets, with whether an article is among them, and the members (uid, cls)."""
+    classes, members = similar.set_classes(cut(_set_records(spark, d)), F.bool_or("is_article").alias("wanted"))
+    classes = cut(classes)
+    return classes, cut(members.join(classes.select("digest", "cls"), "digest").select("uid", "cls"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs between classes, expanded to the pairs of ids that the result lists; equal sets are pairs too."""
-    _, members, pairs = _classes(spark, d)
-    left, right = members.select(F.col("cls").alias("a"), F.col("uid").alias("u")), members.select(F.col("cls").alias("b"), F.col("uid").alias("v"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b")
-    equal = members.groupBy("cls").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("cls")
-    same = left.join(equal, F.col("a") == F.col("cls"), "left_semi").join(right, F.col("a") == F.col("b")).filter("u < v")
-    uids = across.select("u", "v").unionByName(same.select("u", "v"))
-    article = lambda c: F.col(c) % 2 == 0
-    uids = uids.filter(article("u") | article("v"))
-    half = lambda c: F.shiftright(F.col(c), 1)
-    turned = ~article("u") | (article("v") & (F.col("u") > F.col("v")))
-    return uids.select(F.when(turned, half("v")).otherwise(half("u")).alias("id_1"), F.when(turned, half("u")).otherwise(half("v")).alias("id_2"))
+    """Pairs of classes one of which has an article, expanded from its articles to the members of the other, or of the same."""
+    classes, members = _classes(spark, d)
+    pairs = similar.similar_classes(classes)
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("p.x", "p.y")
+    links = both.unionByName(classes.filter("wanted").select(F.col("cls").alias("x"), F.col("cls").alias("y")))
+    articles, others = members.filter("uid % 2 = 0").select(F.col("cls").alias("x"), F.col("uid").alias("u")), members.select(F.col("cls").alias("y"), F.col("uid").alias("v"))
+    uids = links.join(articles, "x").join(others, "y").filter("v % 2 <> 0 OR u < v")
+    return uids.select(F.shiftright("u", 1).alias("id_1"), F.shiftright("v", 1).alias("id_2"))
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row per record: its class of equal sets and the number of other classes that are similar to it."""
-    _, members, pairs = _classes(spark, d)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    """One row per record: its class of equal sets and the number of other classes that are similar to it, decisions included."""
+    classes, members = _classes(spark, d)
+    links = similar.similar_classes(classes.drop("wanted")).select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     return members.join(links, "cls", "left").select((F.col("uid") % 2 == 0).alias("is_article"), F.shiftright("uid", 1).alias("id"), F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
@@ -80,25 +78,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pairs(spark, d).select("source", "term_1", "term_2")
 
 
-def _large_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
-    """Entries (key, row_id) of posting, the large keys (key, f), and n."""
-    postings = table(spark, d, "posting")
-    sizes = cut(overlap.set_sizes(postings))
-    first = sizes.filter("key IS NULL").first()
-    n = first.f if first else 0
-    large = sizes.filter(F.col("key").isNotNull() & (F.col("f") >= LARGE_LEAST) & (F.col("f") * LARGE_SHARE >= n))
-    entries = postings.select(frequency.posting_key().alias("key"), "row_id").filter("key IS NOT NULL AND row_id IS NOT NULL")
-    return entries, large, n
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs whose estimate leaves the result's conditions possible at six standard deviations, then counted exactly."""
-    entries, large, n = _large_sets(spark, d)
-    rate = overlap.sampling_rate(n, LARGE_LEAST, LARGE_SHARE)
-    estimates = overlap.overlap_estimates(entries, large, rate, z=6.0)
+    entries, large, n = overlap.large_sets(table(spark, d, "posting"), LARGE_LEAST, LARGE_SHARE)
+    estimates = overlap.overlap_estimates(entries, large, overlap.sampling_rate(n, LARGE_LEAST, LARGE_SHARE), z=6.0)
     chance = F.lit(3.0) * F.col("f_1") * F.col("f_2") / F.lit(float(max(n, 1)))
-    possible = cut(estimates.filter((F.col("high") * 2 >= F.least("f_1", "f_2")) & (F.col("high") >= chance * (1 - 1e-9))).select("key_1", "key_2", "f_1", "f_2"))
-    exact = overlap.exact_overlaps(entries, possible.select("key_1", "key_2")).join(possible, ["key_1", "key_2"])
+    possible = cut(estimates.filter((F.col("high") * 2 >= F.least("f_1", "f_2")) & (F.col("high") >= chance * (1 - 1e-9))).select("item_1", "item_2", "key_1", "key_2", "f_1", "f_2"))
+    exact = overlap.exact_overlaps(entries, possible.select("item_1", "item_2")).join(possible, ["item_1", "item_2"])
     big = lambda c: F.col(c).cast("decimal(19,0)")
     enough = (F.col("f_ab") * 2 >= F.least("f_1", "f_2")) & (big("f_ab") * F.lit(n).cast("decimal(19,0)") >= F.lit(3).cast("decimal(1,0)") * (big("f_1") * big("f_2")).cast("decimal(37,0)"))
     return exact.filter(enough).select("key_1", "key_2")
@@ -106,9 +92,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Estimated overlaps of all pairs of large keys that share a retained identifier, with 95 % intervals."""
-    entries, large, n = _large_sets(spark, d)
-    rate = overlap.sampling_rate(n, LARGE_LEAST, LARGE_SHARE)
-    return overlap.overlap_estimates(entries, large, rate).select("key_1", "key_2", "f_1", "f_2", *(F.round(c, 3).alias(c) for c in ("estimate", "low", "high")))
+    entries, large, n = overlap.large_sets(table(spark, d, "posting"), LARGE_LEAST, LARGE_SHARE)
+    estimates = overlap.overlap_estimates(entries, large, overlap.sampling_rate(n, LARGE_LEAST, LARGE_SHARE))
+    return estimates.select("key_1", "key_2", "f_1", "f_2", *(F.round(c, 3).alias(c) for c in ("estimate", "low", "high")))
 
 
 def _weights(spark: SparkSession, d: str, hits_only: bool) -> DataFrame:
@@ -161,6 +147,11 @@ SQL = {
 SELECT field, term, 'rare' AS mark FROM f WHERE f <= 2 UNION ALL SELECT field, term, 'common' FROM f JOIN n USING (field) WHERE 5 * f > n""",
     "p1_terms": f"WITH {_TOK} SELECT field, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM tok GROUP BY ALL",
     "p2_found": f"{_SIM} SELECT i AS id_1, j AS id_2 FROM p WHERE 4 * c >= 3 * (s + t - c)",
+    "p2_classes": f"""WITH {_ART}, dec AS (SELECT DISTINCT decision_id AS id, unnest({_TERMS}) AS term FROM decision WHERE article_id IS NULL AND decision_id IS NOT NULL),
+  r AS (SELECT id, true AS a, list(term ORDER BY term) AS t FROM art GROUP BY id UNION ALL SELECT id, false, list(term ORDER BY term) FROM dec GROUP BY id), q AS (SELECT *, 2 * id + CASE WHEN a THEN 0 ELSE 1 END AS uid FROM r WHERE len(t) >= 4),
+  c AS (SELECT t, min(uid) AS cls, any_value(len(t)) AS s FROM q GROUP BY t), e AS (SELECT cls, s, unnest(t) AS term FROM c),
+  p AS (SELECT x.cls AS i, y.cls AS j, x.s AS s, y.s AS t, count(*) AS n FROM e x JOIN e y ON x.term = y.term AND x.cls <> y.cls GROUP BY ALL), l AS (SELECT i AS cls, count(*) AS links FROM p WHERE 4 * n >= 3 * (s + t - n) GROUP BY 1)
+SELECT a AS is_article, id, cls AS class_id, coalesce(links, 0) AS links FROM q JOIN c USING (t) LEFT JOIN l USING (cls)""",
     "p3_found": f"{_TOG} SELECT source, term_1, term_2 FROM u WHERE {_STRONG}",
     "p3_pairs": f"{_TOG} SELECT source, term_1, term_2, n, f_a, f_b, f_ab, round(f_ab::DOUBLE * n / (f_a::DOUBLE * f_b), 6) AS association FROM u WHERE {_STRONG}",
     "p4_found": f"{_OVER} SELECT key_1, key_2 FROM o, n WHERE 2 * f_ab >= least(f_1, f_2) AND f_ab * n >= 3 * f_1 * f_2",
@@ -196,13 +187,29 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, d), _kinds(spark, d))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(container_kind, overfull, split, documents): containers above their capacity, documents in several pieces or with tokens
+    missing though they are not longer than the capacity, and documents placed. The first two are 0."""
+    sizes = cut(encode.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    filled, kinds = cut(packing.fill_containers(sizes, _kinds(spark, d))), _kinds(spark, d).distinct()
+    loads = filled.filter("container_id IS NOT NULL").groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("load")).join(kinds, "container_kind").groupBy("container_kind").agg(F.count(F.when(F.col("load") > F.col("capacity"), 1)).alias("overfull"))
+    pieces = filled.groupBy("container_kind", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("placed")).join(sizes, "doc_id").join(kinds, "container_kind")
+    wrong = (F.col("placed") != F.col("tokens")) | ((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity")))
+    return pieces.groupBy("container_kind").agg(F.count(F.when(wrong, 1)).alias("split"), F.count(F.lit(1)).alias("documents")).join(loads, "container_kind").select("container_kind", "overfull", "split", "documents")
+
+
 def p8_reasons(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, reason) of documents with template residue, filler, error or script text."""
-    return residue.residue_documents(written(residue.evidence(table(spark, d, "documents").select("doc_id", "ruling_id", "text")), "kind"))
+    return residue.residue_documents(cut(residue.evidence(table(spark, d, "documents").select("doc_id", "ruling_id", "text")), "kind"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_reasons(spark, d).select("doc_id").distinct()
 
 
-QUERIES |= {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_report, p8_found, p8_reasons)}
+QUERIES |= {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p7_report, p7_checks, p8_found, p8_reasons)}
+
+SQL |= {
+    "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
+    "p7_checks": "SELECT container_kind, 0::BIGINT AS overfull, 0::BIGINT AS split, (SELECT count(*) FROM documents)::BIGINT AS documents FROM (SELECT DISTINCT container_kind FROM capacities WHERE capacity_tokens > 0)",
+}

@@ -26,8 +26,8 @@ _NO_COVER = 99
 
 
 def _signatures(trees: int, seed: int = 7):
-    """Arrow function (cls, hashes) -> (tree, hi, lo, cls, size, mask): 8 minhash values of 16 bits, four in each long; the
-    mask has one bit in 64 for each term, by its hash."""
+    """Arrow function (cls, hashes, wanted) -> (tree, hi, lo, cls, size, mask): 8 minhash values of 16 bits, four in each long; the
+    mask has one bit in 64 for each term, by its hash; size is negative for a set that is not wanted."""
     rng = np.random.default_rng(seed)
     mul, add = rng.integers(1, 2**63, trees * DEPTH, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, trees * DEPTH, dtype=np.uint64)
 
@@ -46,6 +46,7 @@ def _signatures(trees: int, seed: int = 7):
                 cls = np.asarray(batch.column("cls"))
                 n = len(cls)
                 size = np.diff(offsets).astype(np.int32)
+                size[~batch.column("wanted").to_numpy(zero_copy_only=False).astype(bool)] *= -1
                 mask = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), starts).view(np.int64)
                 sig = np.empty((trees, 2, n), dtype=np.uint64)
                 for t in range(trees):
@@ -75,6 +76,8 @@ def _neighbourhoods(group: int, buffer: int, num: int, den: int):
 
     def compare(cls: np.ndarray, size: np.ndarray, mask: np.ndarray, out: list) -> None:
         i, j = np.triu_indices(len(cls), 1)
+        some = (size[i] > 0) | (size[j] > 0)
+        i, j, size = i[some], j[some], np.abs(size)
         differ = np.bitwise_count(mask[i] ^ mask[j]).astype(np.int64)
         near = (differ * (den + num) <= (den - num) * (size[i] + size[j])) & (np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num)
         if near.any():
@@ -146,12 +149,12 @@ def _neighbourhoods(group: int, buffer: int, num: int, den: int):
     return run
 
 
-def set_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of records (uid BIGINT, terms sorted): the classes (cls, digest, terms, hashes), one per distinct set, cls being
-    its smallest uid; and the members (uid, digest). Equal sets are reduced map-side, however many they are."""
+def set_classes(records: DataFrame, *keep: Column) -> tuple[DataFrame, DataFrame]:
+    """Of records (uid BIGINT, terms sorted): the classes (cls, digest, terms, *keep, hashes), one per distinct set, cls being
+    its smallest uid and ``keep`` aggregates over its records; and the members (uid, digest). Equal sets are reduced map-side, however many they are."""
     digest = F.md5(F.concat_ws("\u0001", "terms"))
-    members = records.select("uid", digest.alias("digest"), "terms")
-    classes = members.groupBy("digest").agg(F.min("uid").alias("cls"), F.first("terms").alias("terms"))
+    members = records.withColumn("digest", digest)
+    classes = members.groupBy("digest").agg(F.min("uid").alias("cls"), F.first("terms").alias("terms"), *keep)
     return classes.withColumn("hashes", F.transform("terms", lambda t: F.xxhash64(t))), members.select("uid", "digest")
 
 
@@ -182,9 +185,12 @@ def similar_classes(classes: DataFrame, num: int = 3, den: int = 4, trees: int =
     """(a, b, shared, union), a < b: pairs of different sets of classes (cls, terms, hashes) with shared / union >= num / den.
 
     ``classes`` is read several times and must be computed already. Sets must not be empty. Expected recall of each
-    pair at the threshold is at least ``target``, at higher similarity more; no candidate is dropped.
+    pair at the threshold is at least ``target``, at higher similarity more; no candidate is dropped. If ``classes`` has a
+    column ``wanted``, only pairs with a wanted set are made.
     """
-    rows = classes.select("cls", "hashes").mapInArrow(_signatures(trees), "tree int, hi bigint, lo bigint, cls bigint, size int, mask bigint")
+    sided = "wanted" in classes.columns
+    classes = classes if sided else classes.withColumn("wanted", F.lit(True))
+    rows = classes.select("cls", "hashes", F.coalesce("wanted", F.lit(False)).alias("wanted")).mapInArrow(_signatures(trees), "tree int, hi bigint, lo bigint, cls bigint, size int, mask bigint")
     found = cut(rows.repartition("tree", "hi").sortWithinPartitions("tree", "hi", "lo").mapInArrow(_neighbourhoods(group, buffer, num, den), "a bigint, b bigint, depth int"))
     s = num / den
     gain = F.log(1 - F.lit(s) ** F.col("depth")) - math.log(1 - s**BASE)
@@ -193,7 +199,7 @@ def similar_classes(classes: DataFrame, num: int = 3, den: int = 4, trees: int =
     pairs = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if not weak.isEmpty():
         pairs = pairs.unionByName(exact_candidates(weak, classes, num, den)).distinct()
-    left, right = classes.select(F.col("cls").alias("a"), F.col("terms").alias("x")), classes.select(F.col("cls").alias("b"), F.col("terms").alias("y"))
+    left, right = classes.select(F.col("cls").alias("a"), F.col("terms").alias("x"), F.col("wanted").alias("p")), classes.select(F.col("cls").alias("b"), F.col("terms").alias("y"), F.col("wanted").alias("q"))
     shared = F.size(F.array_intersect("x", "y"))
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("union"))
+    sized = pairs.join(left, "a").join(right, "b").filter("p OR q").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("union"))
     return sized.filter(F.col("shared") * den >= F.col("union") * num)
