@@ -10,7 +10,7 @@ CHUNK = 64
 
 def _within(items: Column) -> Column:
     """All pairs of a sorted array as structs (a, b), a before b."""
-    return F.flatten(F.transform(items, lambda a: F.transform(F.filter(items, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return F.flatten(F.transform(items, lambda a, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
 def _across(left: Column, right: Column) -> Column:
@@ -19,25 +19,18 @@ def _across(left: Column, right: Column) -> Column:
 
 
 def pair_counts(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b, f_ab), a < b: in how many baskets of entries (basket, item) both items stand.
+    """(a, b, f_ab), a < b: in how many baskets of distinct entries (basket, item) both items stand.
 
-    Entries may repeat; null baskets or items are ignored. Baskets of at most ``chunk`` distinct items are
-    multiplied out as they stand. Larger ones are cut into chunks by the hash of the item, and every pair
-    of chunks becomes a row of its own that any task may take: no task holds more than two chunks of a
-    basket, and no basket is dropped or thinned. Equal pairs are summed before they are shuffled.
+    Null baskets or items are ignored. A basket is cut into chunks of about ``chunk`` items by the hash of the item, and
+    every pair of chunks becomes a row of its own that any task may take: no task holds more than two chunks of a
+    basket, and no basket is dropped or thinned. An ordinary basket is one chunk. Equal pairs are summed before they are
+    shuffled.
     """
     entries = entries.select("basket", "item").filter("basket IS NOT NULL AND item IS NOT NULL")
-    # entries, repeats included, bound the distinct items from above; only the few large baskets come out here
-    large = entries.groupBy("basket").agg(F.count(F.lit(1)).alias("most")).filter(F.col("most") > chunk).select("basket")
-    ordinary = entries.join(large, "basket", "left_anti").groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    cut_up = entries.join(large, "basket", "left_semi").distinct()
-    chunks = cut_up.groupBy("basket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    placed = cut_up.join(chunks, "basket").withColumn("own", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
-    cells = (
-        placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .groupBy("basket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.sort_array(F.collect_set(F.when(F.col("own") <= F.col("other"), F.col("item")))).alias("left"), F.sort_array(F.collect_set(F.when(F.col("own") >= F.col("other"), F.col("item")))).alias("right"))
-    )
-    products = F.when(F.col("i") == F.col("j"), _within(F.col("left"))).otherwise(_across(F.col("left"), F.col("right")))
-    pairs = ordinary.filter(F.size("items") > 1).select(F.explode(_within(F.col("items"))).alias("p")).unionByName(cells.select(F.explode(products).alias("p")))
+    sizes = entries.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("basket", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
+    placed = entries.join(sizes, "basket").withColumn("own", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
+    spread = placed.select("basket", "item", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("basket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "item", (F.col("own") > F.col("other")).alias("second"))
+    # by chunk pair, not by basket as the join left it
+    cells = spread.repartition("basket", "i", "j").groupBy("basket", "i", "j").agg(F.sort_array(F.collect_list(F.when(~F.col("second"), F.col("item")))).alias("left"), F.collect_list(F.when(F.col("second"), F.col("item"))).alias("right"))
+    pairs = cells.select(F.explode(F.when(F.col("i") == F.col("j"), _within(F.col("left"))).otherwise(_across(F.col("left"), F.col("right")))).alias("p"))
     return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("f_ab"))

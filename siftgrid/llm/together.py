@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgrid.llm.pairs import CHUNK, pair_counts
-from siftgrid.llm.terms import record_sets
+from siftgrid.llm.terms import distinct_terms
 
 
 def association(n: Column, f_a: Column, f_b: Column, f_ab: Column) -> Column:
@@ -21,8 +21,8 @@ def strong(least: int, share: int, lift: int) -> Column:
 
 
 def basket_entries(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(basket, item): the distinct terms of each record; see ``record_sets``."""
-    return record_sets(rows, id_col, text_col).select(F.col("id").alias("basket"), F.explode("terms").alias("item"))
+    """(basket, item): the distinct terms of each record; rows of one id are united, rows without id or terms give none."""
+    return rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("basket"), F.explode(distinct_terms(F.col(text_col))).alias("item")).distinct()
 
 
 def cooccurrence(entries: DataFrame, n: int, least: int = 8, share: int = 1000, lift: int = 4, chunk: int = CHUNK) -> DataFrame:

@@ -30,7 +30,8 @@ DIRTY = [(1, "a b a"), (1, "A, b"), (2, None), (3, ""), (4, " ; "), (None, "a b"
 
 @pytest.mark.parametrize("shards", [1, 3, 32])
 def test_term_counters(spark, shards):
-    counters = frequency.term_counters(frequency.text_tokens(texts(spark, DIRTY), "f", "id", "features"), shards)
+    tokens = frequency.text_tokens(texts(spark, DIRTY), "f", "id", "features")
+    counters = frequency.term_counters(tokens, shards)
     got = {(r.field, r.term): (r.occurrences, r.records) for r in counters.collect()}
     occurrences, records, all_records = Counter(), defaultdict(set), set()
     for i, t in DIRTY:
@@ -39,9 +40,11 @@ def test_term_counters(spark, shards):
                 occurrences[term] += 1
                 records[term].add(i)
                 all_records.add(i)
-    want = {("f", t): (n, len(records[t])) for t, n in occurrences.items()} | {("f", None): (0, len(all_records))}
+    want = {("f", t): (n, len(records[t])) for t, n in occurrences.items()}
     assert got == want
-    marked = {r.term: r.marks for r in frequency.marked_terms(cut(counters)).collect()}
+    totals = frequency.record_counts(tokens)
+    assert [(r.field, r.n) for r in totals.collect()] == [("f", len(all_records))]
+    marked = {r.term: r.marks for r in frequency.marked_terms(counters, totals).collect()}
     assert marked == {"a": ["rare", "common"], "b": ["common"], "c": ["rare", "common"], "x": ["rare", "common"]}
 
 
@@ -49,7 +52,7 @@ def test_term_counters_of_keys_and_nothing(spark):
     rows = [("p", 1, None, 5), ("p", 1, None, 5), ("p", 0, None, 6), ("t", None, "", 5), ("t", None, None, 5), (None, 1, None, 7), ("t", None, "a", None)]
     postings = spark.createDataFrame(rows, "col string, value_num bigint, value_str string, row_id bigint")
     got = {r.term: (r.occurrences, r.records) for r in frequency.term_counters(frequency.key_tokens(postings, "p")).collect()}
-    assert got == {"p=1": (2, 1), "p=0": (1, 1), "t=": (1, 1), None: (0, 2)}
+    assert got == {"p=1": (2, 1), "p=0": (1, 1), "t=": (1, 1)}
     assert frequency.term_counters(frequency.key_tokens(postings.limit(0), "p")).count() == 0
 
 
@@ -121,7 +124,7 @@ def test_pair_counts(spark, chunk):
     rows = [(b, i, "q", 1) for b, items in baskets.items() for i in items] + [(None, "i1", "q", 1), (3, None, "q", 1)] + [(0, "i0", "q", 1)] * 300
     baskets[0] = [*baskets[0], "i0"]
     want = Counter(p for items in baskets.values() for p in itertools.combinations(sorted(set(items)), 2))
-    got = pairs.pair_counts(spark.createDataFrame(rows, "basket bigint, item string, a string, chunks int"), chunk)
+    got = pairs.pair_counts(spark.createDataFrame(rows, "basket bigint, item string, a string, chunks int").dropDuplicates(["basket", "item"]), chunk)
     assert {(r.a, r.b): r.f_ab for r in got.collect()} == want
 
 
@@ -156,17 +159,21 @@ def test_overlaps(spark):
     rng = random.Random(3)
     sets = {f"k{k}": {i for i in range(3000) if rng.random() < 0.02 * (k + 1)} for k in range(8)}
     sets["k8"] = set(list(sets["k0"])[:40]) | {1, 2}
-    rows = [(k, i) for k, s in sets.items() for i in s] + [("k0", next(iter(sets["k0"])))] * 5
-    entries = spark.createDataFrame(rows, "key string, row_id bigint")
-    large = spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "key string, f bigint")
+    rows = [("c", 0, k, i) for k, s in sets.items() for i in s] + [("c", 0, "k0", next(iter(sets["k0"])))] * 5 + [("c", 1, None, i) for i in range(9)] + [(None, 1, "x", 5), ("c", None, None, 5), ("c", 1, "k0", None)]
+    entries, large, n = overlap.large_sets(spark.createDataFrame(rows, "col string, value_num bigint, value_str string, row_id bigint"), 20, 500)
+    sets = {f"c={k}": s for k, s in sets.items()}
+    assert n == len(set().union(*sets.values(), range(9)))
+    assert {r.key: r.f for r in large.collect()} == {k: len(s) for k, s in sets.items() if len(s) >= 20}
     exact = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
     whole = overlap.overlap_estimates(entries, large, 1.0).collect()
     assert {(r.key_1, r.key_2): r.estimate for r in whole} == {p: n for p, n in exact.items() if n}
     assert all(r.low == r.estimate == r.high for r in whole)
     sampled = overlap.overlap_estimates(entries, large, 0.4, z=3.5).collect()
     assert all(r.low <= exact[r.key_1, r.key_2] <= r.high for r in sampled)
-    pairs_ = spark.createDataFrame(list(exact), "key_1 string, key_2 string")
-    assert {(r.key_1, r.key_2): r.f_ab for r in overlap.exact_overlaps(entries, pairs_).collect()} == {p: n for p, n in exact.items() if n}
+    item = {r.key: r.item for r in large.collect()}
+    pairs_ = spark.createDataFrame([(item[a], item[b], a) for a, b in exact], "item_1 bigint, item_2 bigint, key string")
+    name = {i: k for k, i in item.items()}
+    assert {(name[r.item_1], name[r.item_2]): r.f_ab for r in overlap.exact_overlaps(entries, pairs_).collect()} == {p: n for p, n in exact.items() if n}
     assert overlap.sampling_rate(1000, 20, 500) == 1.0
     assert overlap.sampling_rate(10**9, 20, 500) == 400 / 2e6
 
@@ -198,3 +205,14 @@ def test_distinctive_terms_of_nothing(spark):
     records = record_sets(texts(spark, [(1, None)]), "id", "features")
     df = distinctive.document_frequencies(records)
     assert distinctive.distinctive_terms(distinctive.with_frequencies(records, df, 1), 1).count() == 0
+
+
+def test_similar_classes_with_a_wanted_set(spark):
+    """Pairs of two sets that are not wanted are not made, also in crowded neighbourhoods and by the exact way."""
+    sets = near_sets(5, 120)
+    frame = spark.createDataFrame([(i, sorted(s), i % 3 == 0) for i, s in sets.items()], "uid bigint, terms array<string>, is_article boolean")
+    classes = cut(similar.set_classes(frame, F.bool_or("is_article").alias("wanted"))[0])
+    wanted = {r.cls for r in classes.filter("wanted").collect()}
+    every = {(r.a, r.b) for r in similar.similar_classes(classes.drop("wanted")).collect()}
+    for group in (256, 2):
+        assert {(r.a, r.b) for r in similar.similar_classes(classes, group=group).collect()} == {(a, b) for a, b in every if a in wanted or b in wanted}
