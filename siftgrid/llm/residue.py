@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -144,6 +145,9 @@ def _plain(token: str) -> str | None:
 _MASK, _FOLD, _WORDS = _Memo(lambda w: w if w.islower() and not _digit(w) else "N"), _Memo(lambda w: "0" if _digit(w) else w.casefold()), _Memo(_plain)
 
 
+_ONE_LETTER = _Memo(lambda w: len(w) > 7 and w.isalpha() and len(set(w)) == 1)
+
+
 def masked(tokens: list[str]) -> str:
     """The tokens with each run of words that are not in lower case (names, numbers, codes) as one slot."""
     text = " ".join(map(_MASK.__getitem__, tokens))
@@ -222,9 +226,10 @@ def low_variety(words: list[str]) -> bool:
     begin, or a word of eight letters or more has one distinct letter. Every run holds a whole pair or half dozen, counted
     from the first word, that is alike: only those are looked around.
     """
-    if any(len(w) > 7 and w.isalpha() and len(set(w)) == 1 for w in set(words)):
+    if True in map(_ONE_LETTER.__getitem__, set(words)):
         return True
-    alike = [2 * i for i, same in enumerate(map(eq, words[::2], words[1::2])) if same]
+    same = list(map(eq, words[::2], words[1::2]))
+    alike = [2 * i for i, x in enumerate(same) if x] if True in same else []
     halves = [i for i in range(0, len(words) - 5, 6) if len(set(words[i : i + 6])) < 5]
     for window, most, size, starts in ((4, 1, 2, alike), (12, 4, 6, halves)):
         for at in starts:
@@ -264,21 +269,22 @@ class _Counts:
     """What one slice of records says about templates, pieces and words, summed before it is sent on."""
 
     def __init__(self) -> None:
-        self.templates: dict[int, int] = {}
-        self.pieces: dict[int, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.templates: dict[int, int] = {}  # rulings as bits
+        self.masks: dict[int, int] = {}
+        self.bits: dict[int, int] = {}
+        self.pieces: Counter[int] = Counter()  # by piece and, in three bits, what holds of it: bare 1, mixed 2, among other sentences 4
+        self.words: Counter[str] = Counter()
+        self.mixed: Counter[str] = Counter()
+        self.rulings: dict[str, int] = {}
         self.free: list[tuple[int, set]] = []
 
-    def ordinary(self, word: str) -> bool:
-        """Whether a word stood beside codes so often by now that the collection cannot find it foreign."""
-        n, mixed, _ = self.words[word]
-        return n > 7 and mixed * 4 > n * 3
-
     def babble(self) -> Iterator[tuple]:
-        """The pieces without codes that may have too few ordinary words."""
+        """The pieces without codes that may have too few ordinary words: words that stood beside codes so often by now
+        that the collection cannot find them foreign."""
+        n, mixed = self.words, self.mixed
         for doc, words in self.free:
-            rest = [w for w in words if not self.ordinary(w)]
-            if len(rest) * 5 >= len(words) * 4:
+            rest = sum(n[w] < 8 or mixed[w] * 4 <= n[w] * 3 for w in words)
+            if rest * 5 >= len(words) * 4:
                 yield (doc, "free", None, None, None, list(map(digest, words))) + (None,) * 7
         self.free = []
 
@@ -286,10 +292,11 @@ class _Counts:
         signed = lambda x: x - (x >> 63 << 64)
         for key, bits in self.templates.items():
             yield None, "template", None, None, None, None, key, None, None, None, None, None, signed(bits)
-        for key, (mask, n, bare, mixed, among, bits) in self.pieces.items():
-            yield None, "piece", None, None, None, None, key, mask, n, bare, mixed, among, signed(bits)
-        for word, (n, mixed, bits) in self.words.items():
-            yield None, "word", None, None, None, None, digest(word), None, n, None, mixed, None, signed(bits)
+        for coded, n in self.pieces.items():
+            key, holds = coded >> 3, coded & 7
+            yield None, "piece", None, None, None, None, key, self.masks[key], n, n * (holds & 1), n * (holds >> 1 & 1), n * (holds >> 2), signed(self.bits[key])
+        for word, n in self.words.items():
+            yield None, "word", None, None, None, None, digest(word), None, n, None, self.mixed[word], None, signed(self.rulings.get(word, 0))
 
 
 def _places(doc: int, text: str, rows: list[tuple]) -> tuple[bool, str]:
@@ -315,7 +322,7 @@ def _places(doc: int, text: str, rows: list[tuple]) -> tuple[bool, str]:
     for word, start, end in words:
         if tried := probes([x for x in around(text, breaks, start, end) if alone(*x)], True):
             rows.append((doc, "bare", field_name(word), None, False, tried) + (None,) * 7)
-    for m in _LABEL.finditer(text):
+    for m in _LABEL.finditer(text) if ":" in text else ():
         if not text[m.end() : m.end() + 1].strip():
             rows.append((doc, "blank", None, None, False, [label_template(m.group(1))]) + (None,) * 7)
     marks = sorted([(start, end) for *_, start, end in fields] + [(start, end) for start, end, without in blanks if without])
@@ -341,8 +348,10 @@ def _record(doc: int, ruling: str | None, text: str, counts: _Counts, rows: list
         if text[m.end() : m.end() + 1].strip():
             key = label_template(m.group(1))
             counts.templates[key] = counts.templates.get(key, 0) | bit
-    seen: dict[int, tuple[int, bool, bool, int]] = {}  # of each piece its template, whether codes stand in its paragraph, whether only other sentences do, and which that is if it is one sentence
-    own: set[int] = set()
+    seen: dict[int, int] = {}  # of each piece whether codes stand in its paragraph (2) or only other sentences (4), and which that is if it is one sentence (8 and up)
+    bits, masks = counts.bits, counts.masks
+    own: set[int] = set()  # templates of too few words to be pieces
+    marked = "\x02" in text
     telling: set[int] = set()  # the paragraphs with prose that gives a number or date
     mixed: set[str | None] = set()
     free: set[str | None] = set()
@@ -352,7 +361,7 @@ def _record(doc: int, ruling: str | None, text: str, counts: _Counts, rows: list
             folded = [list(map(_FOLD.__getitem__, tokens)) for tokens in group]
             coded = any("0" in x for x in folded) if coded is None else coded
             for tokens, fold in zip(group, folded, strict=True):
-                if not tokens:
+                if not tokens or (literal := digest("\1" + " ".join(fold))) in seen:
                     continue
                 mask = masked(tokens)
                 low = mask.count(" ") + 1 - mask.count("N")
@@ -366,35 +375,32 @@ def _record(doc: int, ruling: str | None, text: str, counts: _Counts, rows: list
                         counts.free.append((doc, words))
                 if low > 3 and code:
                     telling.add(at)
-                if any("\x02" in x for x in tokens):
+                if marked and any("\x02" in x for x in tokens):
                     continue
                 key = 0
                 if low > 0:
                     key = digest(mask)
-                    own.add(key)
-                literal = digest("\1" + " ".join(fold))
-                if literal not in seen:
-                    alone = at if sentences == 1 else -1
-                    seen[literal] = (key, coded, sentences > 1 and not coded and not line, alone)
-                    if low > 2:
-                        seen.setdefault(digest("\2" + mask), (1, coded, False, alone))
+                    if low < 3:
+                        own.add(key)
+                alone = at if sentences == 1 else -1
+                seen[literal] = 2 * coded + 4 * (sentences > 1 and not coded and not line) + 8 * (alone + 1)
+                masks[literal] = key
+                if low > 2:
+                    seen.setdefault(key, 2 * coded + 8 * (alone + 1))
+                    masks[key] = 1
     for key in own:
         counts.templates[key] = counts.templates.get(key, 0) | bit
-    for key, (mask, coded, among, alone) in seen.items():
-        bare = not telling or (len(telling) == 1 and alone in telling)
-        if (row := counts.pieces.get(key)) is None:
-            row = counts.pieces[key] = [mask, 0, 0, 0, 0, 0]
-        row[1] += 1
-        row[2] += bare
-        row[3] += coded
-        row[4] += among
-        row[5] |= bit
-    for word in mixed | free:
-        if (row := counts.words.get(word)) is None:
-            row = counts.words[word] = [0, 0, 0]
-        row[0] += 1
-        row[1] += word in mixed
-        row[2] |= bit
+    # without other prose that gives a number: none at all, or one paragraph that is the piece's own sentence
+    bare = 8 * (next(iter(telling)) + 1) if len(telling) == 1 else -8
+    held = [key << 3 | holds & 7 | (not telling or holds & -8 == bare) for key, holds in seen.items()]
+    for key in seen:
+        bits[key] = bits.get(key, 0) | bit
+    counts.pieces.update(held)
+    counts.words.update(mixed | free)
+    counts.mixed.update(mixed)
+    rulings = counts.rulings
+    for word in free - mixed:
+        rulings[word] = rulings.get(word, 0) | bit
     rows.append((doc, "record", None, None, None, list(seen), None, None, None, int(not telling)) + (None,) * 3)
 
 
@@ -408,7 +414,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if text and not text.isspace():
                     _record(doc, ruling, text, counts, rows)
             rows += counts.babble()
-            if len(counts.pieces) > _HELD:
+            if len(counts.bits) > _HELD:
                 rows += counts.rows()
                 counts = _Counts()
             yield as_batch(rows)
@@ -440,7 +446,7 @@ def residue_documents(found: DataFrame, rulings: int = RULINGS, bare: float = BA
     named = names.filter("NOT sure").join(known, "name", "left_semi").select("doc_id", F.lit("name").alias("reason"))
     words = found.filter("kind = 'bare'").join(names.filter("sure").select("name").distinct(), "name", "left_semi")
     places = names.select("doc_id", "keys").unionByName(found.filter("kind = 'blank'").select("doc_id", "keys")).unionByName(words.select("doc_id", "keys"))
-    templates = found.filter("kind = 'template'").groupBy("key").agg(several.alias("several")).filter("several").select("key")
+    templates = found.filter("kind = 'template' OR kind = 'piece' AND mask = 1").groupBy("key").agg(several.alias("several")).filter("several").select("key")
     aligned = places.select("doc_id", F.explode("keys").alias("key")).distinct().join(templates, "key", "left_semi").select("doc_id", F.lit("slot").alias("reason"))
 
     pieces_ = found.filter("kind = 'piece'").groupBy("key").agg(F.first("mask").alias("mask"), *(F.sum(c).alias(c) for c in ("n", "bare", "mixed", "among")), several.alias("several"))
