@@ -92,6 +92,7 @@ class IndexedFrame:
     postings: DataFrame
     conf: IndexConf = IndexConf()
     known: DataFrame | None = None
+    known_n: int | None = None
 
     @staticmethod
     def create(rows: DataFrame, conf: IndexConf = IndexConf()) -> IndexedFrame:
@@ -100,6 +101,8 @@ class IndexedFrame:
     @cached_property
     def n(self) -> int:
         """The number of positions: one beyond the last, which holds for rows delivered twice too."""
+        if self.known_n is not None:
+            return self.known_n
         last = self.rows.agg(F.max("row_id")).first()[0]
         return 0 if last is None else last + 1
 

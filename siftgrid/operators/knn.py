@@ -74,12 +74,29 @@ def nearest(found: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
 
 
 def predict_rate(neighbours: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(rate): the mean over the neighbours of (hits + 1) / (n + 2), outcomes being (row_id, hits, n)."""
+    """(rate): the mean over the neighbours of (hits + 1) / (n + 2), outcomes being (row_id, hits, n).
+
+    The neighbours are k rows; they are sent to the outcomes, which are not shuffled."""
     rate = (F.coalesce("hits", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)
-    return F.broadcast(neighbours).join(outcomes, "row_id", "left").agg(F.avg(rate).alias("rate"))
+    return outcomes.join(F.broadcast(neighbours), "row_id", "right").agg(F.avg(rate).alias("rate"))
+
+
+def distances_of_each(frame: IndexedFrame, weights: DataFrame, base: DataFrame, tokens: DataFrame, baseline: str = "w2") -> DataFrame:
+    """(query_id, row_id, distance) of a batch of queries, tokens being (query_id, col, value_num, value_str), distinct, for the
+    rows that share a weighted token with the query.
+
+    One join of the postings with the tokens of all queries, summed map-side: no product of queries and rows. A row that
+    shares nothing has the distance base + line, which ranks by base alone for every query.
+    """
+    own = _on_key(tokens.select("query_id", *KEY), weights).select("query_id", "col", "__n", "__s", "w1", "w2")
+    line = own.groupBy("query_id").agg(F.sum(baseline).alias("line"))
+    keyed = frame.postings.withColumn("__n", F.coalesce("value_num", F.lit(0))).withColumn("__s", F.coalesce("value_str", F.lit("")))
+    shared = keyed.join(own, ["col", "__n", "__s"]).groupBy("query_id", "row_id").agg(F.sum(F.col("w1") + F.col("w2")).alias("off"))
+    moved = shared.join(base, "row_id").join(line, "query_id")
+    return moved.select("query_id", "row_id", (F.round(F.col("base") + F.col("line") - F.col("off"), DIGITS) + F.lit(0.0)).alias("distance"))
 
 
 def nearest_of_each(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query of (query_id, row_id, distance)."""
+    """The k nearest of each query of (query_id, row_id, distance), with their rank."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from siftgrid.analyzers import IndexConf
 from siftgrid.operators.bits import BitSet
-from siftgrid.operators.index import IndexedFrame
+from siftgrid.operators.index import KEY, IndexedFrame
+from siftgrid.schema import dense_positions
 
 
 def _shifted(df: DataFrame, by: int) -> DataFrame:
@@ -38,7 +39,12 @@ def multi_indexed(frames: Sequence[IndexedFrame], empty: IndexedFrame | None = N
         return empty
     rows = multi_frame([(f.rows, f.n) for f in frames])
     postings = multi_frame([(f.postings, f.n) for f in frames])
-    return IndexedFrame(rows, postings, frames[0].conf)
+    known = None
+    if all(f.known is not None for f in frames):
+        # stored dictionaries are summed, the postings need not be counted again
+        summed = reduce(DataFrame.unionByName, (f.known.select(*KEY, "f") for f in frames)).groupBy(*KEY).agg(F.sum("f").alias("f"))
+        known = dense_positions(summed, *KEY, name="ordinal")
+    return IndexedFrame(rows, postings, frames[0].conf, known, sum(f.n for f in frames))
 
 
 def merged_keys(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:

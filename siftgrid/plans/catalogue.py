@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,10 +11,11 @@ from pyspark.sql import types as T
 from siftgrid import schema
 from siftgrid.analyzers import IndexConf, java_split
 from siftgrid.functions import stats
-from siftgrid.lineage import cut
+from siftgrid.lineage import cut, ensure_checkpoint_dir
 from siftgrid.operators import bits, index, knn, segments
 from siftgrid.operators.bits import BitSet
 from siftgrid.operators.index import IndexedFrame
+from siftgrid.sources import store
 from siftgrid.sources.tables import table
 
 QUERIES: dict = {}
@@ -86,12 +89,12 @@ def project_ordinal(spark, d):
 
 @query("SELECT p_name FROM part WHERE p_partkey = 7")
 def cell_lookup(spark, d):
-    return table(spark, d, "part").filter("p_partkey = 7").select("p_name")
+    return schema.cell_at(table(spark, d, "part").withColumnRenamed("p_partkey", "row_id"), "p_name", 7)
 
 
 @query("SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE p_partkey = 42")
 def row_lookup(spark, d):
-    return table(spark, d, "part").filter("p_partkey = 42").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return schema.row_at(table(spark, d, "part").withColumnRenamed("p_partkey", "row_id"), 42).select(F.col("row_id").alias("p_partkey"), "p_name", "p_brand", "p_type", "p_size")
 
 
 @query("SELECT o_orderkey - 100 AS row_id, o_orderstatus FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900")
@@ -206,6 +209,73 @@ def index_view(spark, d):
     return item_frame(spark, d).view(50, 400).postings
 
 
+# stores: each query writes to a folder of its own beside the session's checkpoints and reads from it
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+def _stored_items(spark, d) -> IndexedFrame:
+    return store.create_indexed(item_frame(spark, d), _folder(spark))
+
+
+def _half(spark, d, h: int) -> IndexedFrame:
+    """The items of every other row, renumbered from 0."""
+    rows = item_rows(spark, d).filter(F.col("row_id") % 2 == h).withColumn("row_id", F.expr("row_id div 2"))
+    return IndexedFrame.create(rows, ITEM_CONF)
+
+
+_HALVES = f"m AS (SELECT max(row_id) // 2 + 1 AS half FROM example_item WHERE row_id % 2 = 0), {_P}, q AS (SELECT col, value_num, value_str, CASE WHEN row_id % 2 = 0 THEN row_id // 2 ELSE half + row_id // 2 END AS row_id FROM p, m)"
+
+
+@query(f"WITH {_D} SELECT col, value_num, value_str, f, ordinal FROM d")
+def stored_dictionary(spark, d):
+    return _stored_items(spark, d).dictionary.select(*index.KEY, "f", "ordinal")
+
+
+@query("SELECT row_id, bignumber, name, property, quantity, text FROM example_item")
+def stored_rows(spark, d):
+    return _stored_items(spark, d).rows.select("row_id", *ITEM_FIELDS)
+
+
+@query("SELECT DISTINCT row_id FROM example_item WHERE quantity = -3")
+def stored_lookup(spark, d):
+    return _stored_items(spark, d).index("quantity", -3).positions
+
+
+@query(f"WITH {_D} SELECT ordinal FROM d WHERE col = 'quantity' AND value_num = 2")
+def stored_ordinal(spark, d):
+    frame = _stored_items(spark, d)
+    return spark.createDataFrame([(frame.ordinal_of("quantity", 2),)], "ordinal bigint")
+
+
+@query("SELECT DISTINCT row_id FROM example_item WHERE property")
+def stored_once(spark, d):
+    """A second call opens what the first has written and does not ask for the items again."""
+    path = _folder(spark)
+    store.have_indexed(spark, path, lambda: item_frame(spark, d), ITEM_CONF)
+    return store.have_indexed(spark, path, lambda: item_frame(spark, d).view(0, 0), ITEM_CONF).index("property", True).positions
+
+
+@query(f"WITH {_HALVES} SELECT * FROM q")
+def stored_segments(spark, d):
+    paths = [_folder(spark), _folder(spark)]
+    for h, path in enumerate(paths):
+        store.write_indexed(_half(spark, d, h), path)
+    return store.open_multi_indexed(spark, paths, ITEM_CONF).postings
+
+
+@query(f"WITH {_HALVES}, g AS (SELECT col, value_num, value_str, count(*) AS f FROM q GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY col, value_num, value_str NULLS FIRST) - 1 AS ordinal FROM g")
+def stored_merged(spark, d):
+    paths = [_folder(spark), _folder(spark)]
+    for h, path in enumerate(paths):
+        store.write_indexed(_half(spark, d, h), path)
+    path = _folder(spark)
+    store.write_merged_indexed([store.open_indexed(spark, p, ITEM_CONF) for p in paths], path)
+    return store.open_indexed(spark, path, ITEM_CONF).dictionary.select(*index.KEY, "f", "ordinal")
+
+
 # sets
 
 
@@ -520,3 +590,16 @@ def knn_ctr_predict(spark, d):
     frame, found = _animal_distances(spark, d)
     outcomes = frame.rows.select("row_id", F.coalesce(F.col("noise").cast("int"), F.lit(0)).alias("hits"), F.lit(1).alias("n"))
     return knn.predict_rate(knn.nearest(found, 25), outcomes).select(F.round("rate", 6).alias("rate"))
+
+
+@query(f"""WITH {_weight_sql(False)}, {_BASE}, t2 AS (SELECT p.row_id AS query_id, w.* FROM p JOIN w ON p.col = w.col AND p.value_num IS NOT DISTINCT FROM w.value_num AND p.value_str IS NOT DISTINCT FROM w.value_str WHERE p.row_id % 20 = 0),
+  ln AS (SELECT query_id, sum(w2) AS line FROM t2 GROUP BY 1), so AS (SELECT query_id, p.row_id, sum(w1 + w2) AS o FROM t2 JOIN p ON p.col = t2.col AND p.value_num IS NOT DISTINCT FROM t2.value_num AND p.value_str IS NOT DISTINCT FROM t2.value_str GROUP BY ALL),
+  x AS (SELECT query_id, so.row_id, round(base + line - o, 9) AS distance FROM so JOIN b USING (row_id) JOIN ln USING (query_id))
+SELECT query_id, row_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS rank FROM x) WHERE rank <= 5""")
+def knn_batch(spark, d):
+    """The five nearest of all animals for each animal whose id is divisible by 20."""
+    frame, weights = _animal_weights(spark, d)
+    weights = cut(weights)
+    tokens = frame.postings.filter("col IN ('legs', 'features') AND row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
+    found = knn.distances_of_each(frame, weights, knn.base_distances(frame, weights), tokens)
+    return knn.nearest_of_each(found, 5).select("query_id", "row_id", F.round("distance", 6).alias("distance"), "rank")

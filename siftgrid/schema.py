@@ -80,3 +80,18 @@ def cast_by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
 def filled(spark, n: int, value, kind: str) -> DataFrame:
     """n rows of one constant."""
     return spark.range(n).select(F.col("id").alias("row_id"), F.lit(value).cast(kind).alias("value"))
+
+
+def is_defined_at(n: int, position: int) -> bool:
+    """Whether a frame or sequence of n rows has a row at the position."""
+    return 0 <= position < n
+
+
+def row_at(df: DataFrame, position: int) -> DataFrame:
+    """The row at a position, as a frame that reads only what the filter on stored positions leaves; empty if there is none."""
+    return df.filter(F.col("row_id") == position)
+
+
+def cell_at(df: DataFrame, field: str | int, position: int) -> DataFrame:
+    """(field) of the row at a position, by the field's name or ordinal."""
+    return row_at(project(df, field), position).drop("row_id")

@@ -143,7 +143,7 @@ def test_storage(spark, tmp_path):
     plan = again.index("a", "a").positions._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(col" in plan and "PushedFilters: [IsNotNull(value_str), EqualTo(value_str,a)]" in plan
     assert store.byte_size(spark, path) > 0 and store.exists(spark, path) and not store.exists(spark, path + "y")
-    assert store.list_names(spark, path) == ["dictionary", "postings", "rows"] and store.free_id(spark, path) == 0
+    assert store.list_names(spark, path) == ["v1", "versions"] and store.list_names(spark, path + "/v1") == ["dictionary", "length", "postings", "rows"] and store.free_id(spark, path) == 0
     other = str(tmp_path / "y")
     store.write_merged_indexed([again, again], other)
     both = store.open_indexed(spark, other)
@@ -160,7 +160,8 @@ def test_no_segments(spark, tmp_path):
     nothing = segments.multi_indexed([], segments.empty_indexed(rows))
     assert (nothing.rows.count(), nothing.rows.columns, nothing.postings.count(), nothing.index("a", "x").count()) == (0, ["row_id", "a", "b"], 0, 0)
     store.write_merged_indexed([], str(tmp_path / "e"), nothing)
-    assert store.open_frame(spark, str(tmp_path / "e/rows")).count() == 0
+    empty = store.open_indexed(spark, str(tmp_path / "e"))
+    assert (empty.rows.count(), empty.n, empty.dictionary.count()) == (0, 0, 0)
     with pytest.raises(ValueError):
         segments.multi_indexed([])
 
@@ -180,3 +181,24 @@ def test_stream_of_segments(spark, tmp_path):
     whole = store.open_multi_indexed(spark, [f"{path}/{i}" for i in store.list_names(spark, path)])
     assert whole.n == 9 and whole.frequency("name", "k0") == 3
     assert [r.id for r in whole.rows.orderBy("row_id").collect()] == list(range(9))
+
+
+def test_an_index_is_replaced_as_a_whole(spark, tmp_path):
+    """A version whose pointer is missing is not seen; the version before the current one stays, older ones go."""
+    path = str(tmp_path / "i")
+    frames = [IndexedFrame.create(schema.from_columns(spark, {"a": list("x" * n)}, {"a": "string"})) for n in (1, 2, 3)]
+    for n, frame in enumerate(frames, 1):
+        store.write_indexed(frame, path)
+        assert store.open_indexed(spark, path).n == store.open_indexed(spark, path).frequency("a", "x") == n
+    assert store.list_names(spark, path) == ["v2", "v3", "versions"]
+    (tmp_path / "i" / "versions" / "3").unlink()
+    assert store.open_indexed(spark, path).n == 2
+    with pytest.raises(FileNotFoundError):
+        store.open_indexed(spark, str(tmp_path / "none"))
+
+
+def test_cells_and_rows(spark):
+    rows = schema.from_columns(spark, {"a": ["x", None], "b": [1, 2]}, {"a": "string", "b": "int"})
+    assert [schema.cell_at(rows, c, i).first()[0] for c, i in (("a", 0), ("a", 1), (1, 1))] == ["x", None, 2]
+    assert schema.row_at(rows, 1).first().b == 2 and schema.row_at(rows, 2).count() == 0
+    assert [schema.is_defined_at(2, i) for i in (-1, 0, 1, 2)] == [False, True, True, False]
