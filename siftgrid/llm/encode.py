@@ -23,13 +23,15 @@ def _load(path: str) -> tuple[bytes, int]:
 
 
 def _shared(df: DataFrame, path: str):
-    """The rank file's content (under a megabyte, whatever the data) and its lookahead, sent to the executors once.
+    """The rank file's content (under a megabyte, whatever the data) and its lookahead, sent to the executors once."""
+    return df.sparkSession.sparkContext.broadcast(_load(path))
 
-    Rows of whole texts go to Python a few hundred at a time, so that long texts do not pile up in one batch.
-    """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_ROWS))
-    return spark.sparkContext.broadcast(_load(path))
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few hundred rows at a time, so that what long texts become does not pile up; the session's settings stay as they are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
 
 
 def _packed(vocabulary: bpe.Vocabulary, text: str | None, hold: int = 1 << 16) -> bytes:
@@ -50,7 +52,7 @@ def encode_ids(rows: DataFrame, id_col: str, text_col: str, path: str = TOKENIZE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe.vocabulary(*shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             packed = [_packed(vocabulary, x) for x in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -65,7 +67,7 @@ def token_counts(rows: DataFrame, id_col: str, text_col: str, path: str = TOKENI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe.vocabulary(*shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(_packed(vocabulary, x)) // 4 for x in batch.column(1).to_pylist()], pa.int64())], [id_col, "tokens"])
 
     return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, tokens bigint")
@@ -83,7 +85,7 @@ def decode_ids(rows: DataFrame, id_col: str, ids_col: str = "ids", path: str = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe.vocabulary(*shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(vocabulary, x) for x in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
 
     return rows.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
