@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import sys
 
 import numpy as np
 import pytest
@@ -284,3 +286,68 @@ def test_full_pieces_of_equal_ids(spark):
     assert sum(r.t for r in loads) == 112 and max(r.t for r in loads) <= 10
     assert sum(r.container_id.startswith("whole") for r in loads) == 10
     assert packing.fill_report(filled, kinds).first().containers == len(loads)
+
+
+def test_evidence_takes_each_token_once():
+    """Calls made for a token, a measure of work that does not depend on the machine: 3.1 when each line and sentence was cut and looked at by itself."""
+    texts = rulings(200)
+    made = 0
+
+    def count(frame, event, arg):
+        nonlocal made
+        made += event in ("call", "c_call")
+
+    for again in range(2):  # the second time with all words met
+        counts, made = residue._Counts(), 0
+        sys.setprofile(count)
+        try:
+            for i, text in enumerate(texts):
+                residue._record(i, f"r{i}", text, counts, [])
+        finally:
+            sys.setprofile(None)
+    assert made / sum(len(x.split()) for x in texts) < 2.3
+
+
+ODD = ["\n", "\n\n", "\n \n", "\t", "  ", "foo.", "Foo.", "was", "the", "(Foo", "5.", "5", "§7", "–", "Art. 5 ", "Wort. [5] Foo", "\n  Art. 5 – foo", "\n5. Foo", "MOTIFS", "\nMOTIFS\n", "\nMOTIFS:\n", "MOTIFS:foo", "(CLAIMANT)", "the KLAEGER, was", ";", "\r\n", "\xa0", "x²", "A1"]
+
+
+def odd_texts():
+    rng = random.Random(5)
+    return ["".join(rng.choice(ODD) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(2, 30))) for _ in range(2000)]
+
+
+def test_sentences_are_those_of_the_text():
+    """Sentences and lines found among the tokens are those that patterns cut from the text."""
+    stop = re.compile(r"[.!?…](?<=[^\W\d_][^\W\d_][^\W\d_].)\s+(?=[A-ZÀ-Þ„“«<{\[(\x02])")
+    for text in odd_texts():
+        expected, lines = [], []
+        for line in [*stop.sub("\\g<0>\x1e", text).split("\n"), ""]:
+            blank = not line.strip()
+            leading = None if blank else residue._LEADING.match(line, line[0] == "\x1e")
+            if (blank or leading) and lines:
+                cut = [x.split() for x in " ".join(lines).split("\x1e")]
+                expected.append((cut, [x.split() for y in lines for x in y.split("\x1e") if x.split()] if len(lines) > 1 else []))
+                lines = []
+            if not blank:
+                lines.append(line[leading.end() :] if leading else line)
+        known = residue._Tokens(text)
+        assert [([known.tokens[a:b] for a, b in x], [known.tokens[a:b] for a, b in y]) for x, y in residue.paragraphs(known)] == expected, text
+
+
+def test_bare_words_left_out_have_no_probes(monkeypatch):
+    def places(text):
+        rows = []
+        return residue._places(1, text, rows), [(*x[:5], sorted(x[5] or [])) for x in rows]
+
+    texts = odd_texts()
+    short = list(map(places, texts))
+    monkeypatch.setattr(residue, "_held_back", lambda known, i: False)
+    monkeypatch.setattr(residue, "_NEXT", re.compile("(?!)"))
+    assert short == list(map(places, texts)) and any(x[1] == "bare" for _, rows in short for x in rows)
+
+
+def test_few_keys_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(residue, "BROADCAST", 3)
+    few, many = (spark.range(100).join(residue._few(spark.range(n).toDF("id")), "id") for n in (3, 4))
+    hinted = [" ResolvedHint (strategy=broadcast)" in df._jdf.queryExecution().analyzed().toString() for df in (few, many)]
+    assert hinted == [True, False] and (few.count(), many.count()) == (3, 4)
