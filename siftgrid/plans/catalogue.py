@@ -601,5 +601,4 @@ def knn_batch(spark, d):
     frame, weights = _animal_weights(spark, d)
     weights = cut(weights)
     tokens = frame.postings.filter("col IN ('legs', 'features') AND row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
-    found = knn.distances_of_each(frame, weights, knn.base_distances(frame, weights), tokens)
-    return knn.nearest_of_each(found, 5).select("query_id", "row_id", F.round("distance", 6).alias("distance"), "rank")
+    return knn.nearest_of_each(frame, weights, knn.base_distances(frame, weights), tokens, 5).select("query_id", "row_id", F.round("distance", 6).alias("distance"), "rank")

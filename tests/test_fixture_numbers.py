@@ -1,8 +1,10 @@
 """The acceptance numbers of FIXTURES.md: a seeded generator, index sizes, checksums, neighbours and weights."""
 
 import math
+import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from siftgrid.functions.stats import CoStats
 from siftgrid.operators import index, knn, segments
 from siftgrid.operators.bits import BitSet
 from siftgrid.operators.index import IndexedFrame
+from siftgrid.plans import catalogue
 
 LETTERS = "abcdefghijklmnopqrstuvxyz"
 ITEM = "row_id bigint, bigNumber bigint, name string, property boolean, quantity int, text string"
@@ -207,3 +210,41 @@ def test_masked_weights(spark):
     defined = BitSet.of_positions(spark, range(4), 6)
     got = {(r.col, r.value_num, r.value_str) for r in knn.key_value_weights(frame, ["legs", "features"], frame.index("isDuck", True), defined).collect()}
     assert ("legs", 4, None) in got and len(got) == 9
+
+
+def some_animals(folder, n, words, seed):
+    """A table of animals, most of them with four legs, whose words recur and often weigh the same."""
+    draw = random.Random(seed)
+    rows = [(i, draw.choice((4, 4, 4, 2, None)), " ".join(draw.choice(words)[: draw.choice((1, 2))] for _ in range(draw.randint(0, 5))), True, draw.random() < 0.3) for i in range(n)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE animal (row_id BIGINT, legs INTEGER, features VARCHAR, noise BOOLEAN, is_duck BOOLEAN)")
+    con.executemany("INSERT INTO animal VALUES (?, ?, ?, ?, ?)", rows)
+    con.sql(f"COPY animal TO '{folder}/animal.parquet' (FORMAT parquet)")
+    return con
+
+
+def batch_against_sql(spark, folder, con):
+    """Compares knn_batch with its SQL; returns the frame that ran."""
+    got = catalogue.QUERIES["knn_batch"](spark, str(folder))
+    rows = sorted((r.query_id, r["rank"], r.row_id, round(r.distance, 6)) for r in got.collect())
+    assert rows == sorted((r[0], r[3], r[1], round(r[2], 6)) for r in con.sql(catalogue.SQL["knn_batch"]).fetchall())
+    return got
+
+
+def most_rows(plan):
+    """The most rows that any step of a plan that ran gave out."""
+    kind = plan.getClass().getSimpleName()
+    rows = plan.metrics().get("numOutputRows")
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return max([rows.get().value() if rows.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_batch_makes_no_product(spark, tmp_path):
+    con = some_animals(tmp_path, 2000, ["ab", "cd", "ef", "gh"], 1)
+    got = batch_against_sql(spark, tmp_path, con)
+    assert 500 <= most_rows(got._jdf.queryExecution().executedPlan()) < 2000 * 100 / 8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batch_of_neighbours(spark, tmp_path, seed):
+    batch_against_sql(spark, tmp_path, some_animals(tmp_path, 300, [a + b for a in "abcdefgh" for b in "xyz"], seed))
