@@ -85,25 +85,26 @@ def predict_rate(neighbours: DataFrame, outcomes: DataFrame) -> DataFrame:
     return outcomes.join(F.broadcast(neighbours), "row_id", "right").agg(F.avg(rate).alias("rate"))
 
 
-def nearest_of_each(frame: IndexedFrame, weights: DataFrame, base: DataFrame, tokens: DataFrame, k: int, baseline: str = "w2") -> DataFrame:
-    """(query_id, row_id, distance, rank): of a batch of queries, tokens being (query_id, col, value_num, value_str), distinct, the k
-    nearest of the rows that share a weighted token with the query, ties by row_id.
+def nearest_of_each(frame: IndexedFrame, weights: DataFrame, base: DataFrame, queries: DataFrame, tokens: DataFrame, k: int, baseline: str = "w2") -> DataFrame:
+    """(query_id, row_id, distance, rank): the k nearest rows of ``base`` of each of a batch of queries (query_id), whose tokens are
+    (query_id, col, value_num, value_str), distinct; ties by row_id. Rows that share nothing and queries without tokens count too.
 
-    No pair is made of a query and each row that shares a token. Tokens are numbered from the most common on; a row and a
-    query are the paths of their tokens in that order. A pair meets at its rarest common token, where what both have
+    No pair is made of each query and each row. Tokens are numbered from the most common on; a row and a
+    query are the paths of their tokens in that order. A pair meets at its rarest common token, or at the paths' start, where what both have
     in common lies on the two paths up to there: so rows with one path up to a token count as one, k of them at most
     remain (and those whose rounded distance may tie), and queries with one path are answered once. At a commoner token
-    the same pair only gets a longer distance, so the shortest holds. A row of m tokens makes m paths.
+    the same pair only gets a longer distance, so the shortest holds. A row of m tokens makes m + 1 paths.
     """
     key = ["col", "__n", "__s"]
     own = cut(_on_key(tokens.select("query_id", *KEY), weights).select("query_id", *key, "w1", "w2"))
-    line = own.groupBy("query_id").agg(F.sum(baseline).alias("line"))
+    sums = own.groupBy("query_id").agg(F.sum(baseline).alias("line"))
+    line = queries.join(sums, "query_id", "left").select("query_id", F.coalesce("line", F.lit(0.0)).alias("line"))
     keyed = frame.postings.withColumn("__n", F.coalesce("value_num", F.lit(0))).withColumn("__s", F.coalesce("value_str", F.lit("")))
     asked = own.select(*key, (F.col("w1") + F.col("w2")).alias("s")).distinct()
     common = keyed.join(asked, key).groupBy(*key, "s").agg((-F.count(F.lit(1))).alias("__f"))
     numbered = schema.dense_positions(common, "__f", *key, name="token").select(*key, "token", "s")
-    rows = _paths(keyed, numbered, "row_id").join(base, "row_id")
-    asks = cut(_prefixes(_paths(own, numbered, "query_id")).select("query_id", "prefix", "shared"))
+    rows = _paths(base.filter("row_id IS NOT NULL"), keyed, numbered, "row_id")
+    asks = cut(_prefixes(_paths(queries, own, numbered, "query_id")).select("query_id", "prefix", "shared"))
     # where two sums of the same weights differ in the last digit, they are the same to DIGITS + 3; equal rounded distances
     # come from bases whose roundings are the same or next to each other
     rows = rows.withColumn("__same", F.round("base", DIGITS + 3)).withColumn("__near", F.round("base", DIGITS))
@@ -123,14 +124,15 @@ def nearest_of_each(frame: IndexedFrame, weights: DataFrame, base: DataFrame, to
     return moved.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _paths(keyed: DataFrame, numbered: DataFrame, who: str) -> DataFrame:
-    """(who, path): the numbered tokens of each, the most common first, with their weights."""
-    return keyed.join(numbered, ["col", "__n", "__s"]).groupBy(who).agg(F.sort_array(F.collect_list(F.struct("token", "s"))).alias("path"))
+def _paths(all_of: DataFrame, keyed: DataFrame, numbered: DataFrame, who: str) -> DataFrame:
+    """``all_of`` with ``path``: the numbered tokens of each, the most common first, with their weights."""
+    met = keyed.join(numbered, ["col", "__n", "__s"]).groupBy(who).agg(F.sort_array(F.collect_list(F.struct("token", "s"))).alias("path"))
+    return all_of.join(met, who, "left").withColumn("path", F.coalesce("path", F.array().cast("array<struct<token: bigint, s: double>>")))
 
 
 def _prefixes(paths: DataFrame) -> DataFrame:
-    """A row for each beginning of each path, with its tokens as ``prefix`` and their weights as ``shared``."""
-    cuts = paths.withColumn("__part", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n)))).drop("path")
+    """A row for each beginning of each path, the empty one too, with its tokens as ``prefix`` and their weights as ``shared``."""
+    cuts = paths.withColumn("__part", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n)))).drop("path")
     return cuts.withColumn("prefix", F.col("__part.token")).withColumn("shared", F.col("__part.s")).drop("__part")
 
 

@@ -594,11 +594,13 @@ def knn_ctr_predict(spark, d):
 
 @query(f"""WITH {_weight_sql(False)}, {_BASE}, t2 AS (SELECT p.row_id AS query_id, w.* FROM p JOIN w ON p.col = w.col AND p.value_num IS NOT DISTINCT FROM w.value_num AND p.value_str IS NOT DISTINCT FROM w.value_str WHERE p.row_id % 20 = 0),
   ln AS (SELECT query_id, sum(w2) AS line FROM t2 GROUP BY 1), so AS (SELECT query_id, p.row_id, sum(w1 + w2) AS o FROM t2 JOIN p ON p.col = t2.col AND p.value_num IS NOT DISTINCT FROM t2.value_num AND p.value_str IS NOT DISTINCT FROM t2.value_str GROUP BY ALL),
-  x AS (SELECT query_id, so.row_id, round(base + line - o, 9) AS distance FROM so JOIN b USING (row_id) JOIN ln USING (query_id))
+  each_query AS (SELECT DISTINCT row_id AS query_id FROM r WHERE row_id % 20 = 0),
+  x AS (SELECT query_id, b.row_id, round(base + coalesce(line, 0) - coalesce(o, 0), 9) AS distance FROM each_query CROSS JOIN b LEFT JOIN ln USING (query_id) LEFT JOIN so USING (query_id, row_id) WHERE b.row_id IS NOT NULL)
 SELECT query_id, row_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS rank FROM x) WHERE rank <= 5""")
 def knn_batch(spark, d):
     """The five nearest of all animals for each animal whose id is divisible by 20."""
     frame, weights = _animal_weights(spark, d)
     weights = cut(weights)
+    queries = frame.rows.filter("row_id % 20 = 0").select(F.col("row_id").alias("query_id")).distinct()
     tokens = frame.postings.filter("col IN ('legs', 'features') AND row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
-    return knn.nearest_of_each(frame, weights, knn.base_distances(frame, weights), tokens, 5).select("query_id", "row_id", F.round("distance", 6).alias("distance"), "rank")
+    return knn.nearest_of_each(frame, weights, knn.base_distances(frame, weights), queries, tokens, 5).select("query_id", "row_id", F.round("distance", 6).alias("distance"), "rank")

@@ -248,3 +248,23 @@ def test_batch_makes_no_product(spark, tmp_path):
 @pytest.mark.parametrize("seed", range(3))
 def test_batch_of_neighbours(spark, tmp_path, seed):
     batch_against_sql(spark, tmp_path, some_animals(tmp_path, 300, [a + b for a in "abcdefgh" for b in "xyz"], seed))
+
+
+def test_batch_takes_rows_and_queries_that_share_nothing(spark, tmp_path):
+    """Animals without any token are as near as their base, 0, and an animal without tokens has neighbours as well."""
+    con = duckdb.connect()
+    con.sql("""CREATE TABLE animal AS SELECT range AS row_id, CASE WHEN range NOT IN (0, 20, 33) THEN 2 + 2 * (range % 3 // 2) END::INT AS legs,
+      CASE WHEN range = 0 THEN 'alone' WHEN range NOT IN (20, 33) THEN 'a' || range % 4 || ' b' || range % 7 END AS features, true AS noise, range % 3 = 0 AS is_duck FROM range(60)""")
+    con.sql(f"COPY animal TO '{tmp_path}/animal.parquet' (FORMAT parquet)")
+    got = batch_against_sql(spark, tmp_path, con)
+    found = defaultdict(list)
+    for r in sorted(got.collect(), key=lambda r: r["rank"]):
+        found[r.query_id].append(r.row_id)
+    assert sorted(found) == [0, 20, 40] and all(len(x) == 5 for x in found.values())
+    assert found[20][:2] == [20, 33]
+    frame, weights = catalogue._animal_weights(spark, str(tmp_path))
+    base = knn.base_distances(frame, weights)
+    for query, near in found.items():
+        asked = frame.postings.filter(F.col("col").isin("legs", "features") & (F.col("row_id") == query))
+        assert [r.row_id for r in knn.nearest(knn.distances(frame, weights, base, asked), 5).collect()] == near
+    assert {20, 33} <= set(found[0])
